@@ -91,4 +91,7 @@ def page_number(path: Column) -> Column:
 
 
 def rounded(value: Column, digits: int) -> Column:
-    return F.bround(value, digits)
+    """To ``digits`` places, ties to even, by the binary value: the part after the point is scaled by itself, which keeps its bits."""
+    scale = float(10**digits)
+    whole = F.floor(value)
+    return F.bround(whole + F.rint((value - whole) * scale) / scale, digits)

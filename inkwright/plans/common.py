@@ -68,11 +68,11 @@ def tokens_sql(text: str = "text") -> str:
     return f"regexp_extract_all({text}, '{TOKEN}')"
 
 
-def lines_sql(name: str = "documents", keys: str = "doc_id") -> str:
-    """CTEs up to ``lines`` (keys, line, body)."""
-    return f"""_split AS (SELECT {keys}, string_split_regex(text, '{ENDS}') AS l FROM {name} WHERE text IS NOT NULL),
-_cut AS (SELECT {keys}, CASE WHEN l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM _split),
-lines AS (SELECT {keys}, unnest(l) AS body, generate_subscripts(l, 1) - 1 AS line FROM _cut)"""
+def lines_sql(source: str = "documents", keys: str = "doc_id", name: str = "lines") -> str:
+    """CTEs up to ``name`` (keys, line, body)."""
+    return f"""{name}_l AS (SELECT {keys}, string_split_regex(text, '{ENDS}') AS l FROM {source} WHERE text IS NOT NULL),
+{name}_c AS (SELECT {keys}, CASE WHEN l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM {name}_l),
+{name} AS (SELECT {keys}, unnest(l) AS body, generate_subscripts(l, 1) - 1 AS line FROM {name}_c)"""
 
 
 NGRAMS = f"""{lines_sql()},

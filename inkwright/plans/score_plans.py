@@ -42,7 +42,7 @@ def bounded_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).select("doc_id", "line", "idx", alignment.within(F.col("observed"), F.col("truth"), 1).alias("within_one"))
 
 
-_ASKED = f"""{lines_sql("conversations", "conv_id, turn").replace("lines AS", "held AS").replace("_split", "_hs").replace("_cut", "_hc")},
+_ASKED = f"""{lines_sql("conversations", "conv_id, turn", "held")},
   _hw AS (SELECT conv_id, turn, line, {tokens_sql("body")} AS w FROM held),
   asked AS (SELECT conv_id, turn, line, i - 1 AS idx, CASE WHEN i > 2 THEN lower(w[i - 2]) ELSE {B} END AS w2, CASE WHEN i > 1 THEN lower(w[i - 1]) ELSE {B} END AS w1, lower(w[i]) AS word
     FROM _hw, unnest(range(1, len(w) + 1)) AS t(i))"""

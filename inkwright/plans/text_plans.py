@@ -78,7 +78,12 @@ def parse_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", t.parse_id(raw).alias("id"))
 
 
-@register("SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / 64.0, 3) AS score, round_even(l_discount / 3.0, 4) AS rate, round_even(l_tax / 7.0, 5) AS cer FROM lineitem")
+def _rounded(value: str, digits: int) -> str:
+    scale = f"1e{digits}::DOUBLE"
+    return f"round(floor({value}) + round_even(({value} - floor({value})) * {scale}, 0) / {scale}, {digits})"
+
+
+@register(f"SELECT l_orderkey, l_linenumber, {_rounded('(l_extendedprice / 64.0::DOUBLE)', 3)} AS score, {_rounded('(l_discount / 3.0::DOUBLE)', 4)} AS rate, {_rounded('(l_tax / 7.0::DOUBLE)', 5)} AS cer FROM lineitem")
 def rounded_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", t.rounded(F.col("l_extendedprice") / 64.0, 3).alias("score"), t.rounded(F.col("l_discount") / 3.0, 4).alias("rate"), t.rounded(F.col("l_tax") / 7.0, 5).alias("cer"))
