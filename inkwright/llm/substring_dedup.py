@@ -28,7 +28,7 @@ COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8
 WINDOW = 20
 FLUSH = 1 << 20
 _MISSING = np.iinfo(np.int64).min
-GROUP_SCHEMA = "g int, doc long, a binary, b binary"
+GROUP_SCHEMA = "g int, a binary, b binary"
 
 
 def period_for(window: int) -> int:
@@ -46,44 +46,53 @@ def _from_six(b: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _runs(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted intervals, merged where they touch."""
-    if not len(starts):
-        return starts, lengths
-    ends = np.maximum.accumulate(starts + lengths)
-    new = np.concatenate([[True], starts[1:] > ends[:-1]])
+def _runs(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals in order of document and start, merged where they touch."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], (start + length)[order]
+    other = np.concatenate([[True], doc[1:] != doc[:-1]])
+    rank = np.cumsum(other) << 40
+    reach = np.maximum.accumulate(rank + end)
+    new = other.copy()
+    new[1:] |= (rank + start)[1:] > reach[:-1]
     first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(starts)]]) - 1
-    return starts[first], ends[last] - starts[first]
+    last = np.concatenate([first[1:], [len(doc)]]) - 1
+    return doc[first], start[first], (reach - rank)[last] - start[first]
 
 
-def _interval_rows(doc: np.ndarray, start: np.ndarray, length: int, group: int, groups: int) -> pa.RecordBatch | None:
-    """Rows (group, doc, merged intervals) for places of length ``length``; the group only spreads them."""
-    if not len(doc):
-        return None
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    last = np.concatenate([first[1:], [len(doc)]])
-    blobs = []
-    for a, b in zip(first, last, strict=True):
-        s, n = _runs(start[a:b], np.full(b - a, length, dtype=np.int64))
-        blobs.append(np.concatenate([s, n]).astype("<i4").tobytes())
-    docs = doc[first]
-    return _rows(groups + (docs.astype(np.uint64) % np.uint64(groups)).astype(np.int32) if group < 0 else np.full(len(docs), group, dtype=np.int32), docs, blobs, [b""] * len(blobs))
+def _by(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by target, and first and end of each target's stretch."""
+    order = np.argsort(target, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(target[order]) != 0]))
+    return order, first, np.concatenate([first[1:], [len(order)]])
+
+
+def _interval_rows(doc: np.ndarray, start: np.ndarray, length: np.ndarray, groups: int) -> pa.RecordBatch:
+    """A row for each of the groups that documents are dealt to: its documents' merged intervals."""
+    doc, start, length = _runs(doc, start, length)
+    target = ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % groups
+    order, first, end = _by(target)
+    doc, start, length = doc[order].astype("<i8"), start[order].astype("<i4"), length[order].astype("<i4")
+    a = [doc[x:y].tobytes() for x, y in zip(first, end, strict=True)]
+    b = [start[x:y].tobytes() + length[x:y].tobytes() for x, y in zip(first, end, strict=True)]
+    return _rows(groups + target[order][first], a, b)
 
 
-def _rows(g: np.ndarray, doc: np.ndarray, a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(doc, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["g", "doc", "a", "b"])
+def _read_intervals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    doc = np.concatenate([np.frombuffer(x, dtype="<i8") for x in table.column("a").to_pylist()])
+    both = [np.frombuffer(x, dtype="<i4").reshape(2, -1).astype(np.int64) for x in table.column("b").to_pylist()]
+    return doc, np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
+
+
+def _rows(g: np.ndarray, a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["g", "a", "b"])
 
 
 def _entry_rows(h: np.ndarray, h2: np.ndarray, doc: np.ndarray, place: np.ndarray, groups: int) -> pa.RecordBatch:
     """Rows (group, -, hashes, documents and places) of entries."""
     g = ((h >> np.uint64(48)) % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(g, kind="stable")
+    order, first, last = _by(g)
     g, h, h2, doc, place = g[order], h[order], h2[order], doc[order], place[order]
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    last = np.concatenate([first[1:], [len(g)]])
     a, b = [], []
     for s, e in zip(first, last, strict=True):
         ids, index = np.unique(doc[s:e], return_inverse=True)
@@ -91,7 +100,7 @@ def _entry_rows(h: np.ndarray, h2: np.ndarray, doc: np.ndarray, place: np.ndarra
         head = np.array([e - s, len(ids), 2 if wide == "<u2" else 4], dtype="<i8").tobytes()
         a.append(head + _six(h[s:e]).tobytes() + _six(h2[s:e]).tobytes())
         b.append(ids.astype("<i8").tobytes() + index.astype(wide).tobytes() + place[s:e].astype(wide).tobytes())
-    return _rows(g[first].astype(np.int32), np.zeros(len(first), dtype=np.int64), a, b)
+    return _rows(g[first], a, b)
 
 
 def _read_entries(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,9 +135,7 @@ class _Combiner:
         h, h2, doc, place = h[order], h2[order], doc[order], place[order]
         repeat = _repeats(new, self.first_repeats)
         if repeat.any():
-            rows = _interval_rows(doc[repeat], place[repeat] - self.back, self.length, -1, self.groups)
-            if rows is not None:
-                yield rows
+            yield _interval_rows(doc[repeat], place[repeat] - self.back, np.full(repeat.sum(), self.length), self.groups)
         yield _entry_rows(h[new], h2[new], doc[new], place[new], self.groups)
 
 
@@ -149,30 +156,36 @@ def _repeats(new: np.ndarray, first_too: bool) -> np.ndarray:
 
 
 def _find(entries: DataFrame, groups: int, length: int, back: int, first_repeats: bool) -> DataFrame:
-    """(doc, list of interval blobs) of repeated places, from entries and intervals known already."""
+    """(doc, intervals) of repeated places, a row a document, from entries and intervals known already."""
 
     def group(key: tuple, table: pa.Table) -> pa.Table:
-        empty = pa.table({"doc": pa.array([], pa.int64()), "a": pa.array([], pa.binary())})
         if key[0].as_py() >= groups:
-            return table.select(["doc", "a"])
+            return table
         parts = [_read_entries(a, b) for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)]
         h, h2, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, new = _grouped(h, h2, doc, place)
         repeat = _repeats(new, first_repeats)
-        rows = _interval_rows(doc[order][repeat], place[order][repeat] - back, length, 0, groups)
-        return empty if rows is None else pa.Table.from_batches([rows]).select(["doc", "a"])
+        if not repeat.any():
+            return table.slice(0, 0)
+        return pa.Table.from_batches([_interval_rows(doc[order][repeat], place[order][repeat] - back, np.full(repeat.sum(), length), groups)])
+
+    def gather(table: pa.Table) -> pa.Table:
+        doc, start, length = _runs(*_read_intervals(table))
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        blobs = [np.concatenate([start[x:y], length[x:y]]).astype("<i4").tobytes() for x, y in zip(first, [*first[1:], len(doc)], strict=True)]
+        return pa.table({"doc": doc[first], "_spans": pa.array(blobs, pa.binary())})
 
-    found = entries.groupBy("g").applyInArrow(group, "doc long, a binary")
-    return found.groupBy("doc").agg(F.collect_list("a").alias("_spans"))
+    return entries.groupBy("g").applyInArrow(group, GROUP_SCHEMA).groupBy("g").applyInArrow(gather, "doc long, _spans binary")
 
 
-def _marked(blobs: list[bytes] | None, n: int) -> np.ndarray:
+def _marked(spans: bytes | None, n: int) -> np.ndarray:
     """Which of n places the intervals cover."""
+    if not spans:
+        return np.zeros(n, dtype=bool)
     change = np.zeros(n + 1, dtype=np.int64)
-    for blob in blobs or ():
-        s, length = np.frombuffer(blob, dtype="<i4").reshape(2, -1).astype(np.int64)
-        np.add.at(change, np.clip(s, 0, n), 1)
-        np.add.at(change, np.clip(s + length, 0, n), -1)
+    start, length = np.frombuffer(spans, dtype="<i4").reshape(2, -1).astype(np.int64)
+    np.add.at(change, np.clip(start, 0, n), 1)
+    np.add.at(change, np.clip(start + length, 0, n), -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -198,7 +211,7 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     cover = np.zeros(period, dtype=bool)
     cover[list(COVERS.get(period, (0,)))] = True
     anchor = window - period + 1
-    groups = 3 * shuffle_partitions(spark)
+    groups = 2 * shuffle_partitions(spark)
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "_doc", "_spans", "_rest")]
     rest = [c for c in kept if c not in (key, text)]
     doc = F.coalesce(F.col(key).cast("long"), F.lit(_MISSING)).alias("_doc")
@@ -240,10 +253,10 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
                 n_words, n_removed, left = [], [], []
                 for i in range(part.num_rows):
                     tokens = (texts[a + i].as_py() or "").encode().split()
-                    blobs = spans_of[a + i].as_py()
+                    spans = spans_of[a + i].as_py()
                     n_words.append(len(tokens))
-                    if blobs:
-                        removed = _marked(blobs, len(tokens))
+                    if spans:
+                        removed = _marked(spans, len(tokens))
                         tokens = [w for w, r in zip(tokens, removed.tolist(), strict=True) if not r]
                     n_removed.append(n_words[-1] - len(tokens))
                     left.append(b" ".join(tokens).decode())
