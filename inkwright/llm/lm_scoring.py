@@ -32,9 +32,9 @@ DEPTH = 5
 #: documents' n-grams are joined to the cells by shuffle.
 BROADCAST_CELLS = 1 << 23
 #: Words with at least this share of the training tokens are looked up in a broadcast table: as shares
-#: sum to 1, there are at most 2**18 of them. All other words are joined.
-HEAVY = 1 << 18
-FLUSH = 1 << 22
+#: sum to 1, there are at most 2**20 of them. All other words are joined.
+HEAVY = 1 << 20
+FLUSH = 1 << 21
 MEMO_WORDS = 1 << 20
 END = b"\n"
 
@@ -345,68 +345,81 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     denominator = math.log10(n_train + 0.1 * (n_types + 1))
     sent_top = spark.sparkContext.broadcast({w: math.log10(c + 0.1) - denominator for w, c in top.items()})
     unknown = math.log10(0.1) - denominator
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"_id {kind}, _row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_stream_bytes long, _rare array<binary>, _grams array<struct<gram:bigint,n:bigint>>"
-    names = ["_id", "_row", "held_out", "n_tokens", "n_known", "base_score", "score", "n_stream_bytes", "_rare", "_grams"]
+    id_type = docs.schema[key].dataType.simpleString()
+    summary = ["_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_stream_bytes"]
+    schema = f"word binary, _base long, _at array<int>, _id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_stream_bytes long, _grams array<struct<gram:bigint,n:bigint>>"
     gram_type = pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, and one for each word that must be looked up, with the texts of the task that hold it."""
         from pyspark import TaskContext
 
-        known, lookup, row = sent_top.value, CellTable(*sent_cells.value) if sent_cells else None, TaskContext.get().partitionId() << 40
+        known, lookup, base = sent_top.value, CellTable(*sent_cells.value) if sent_cells else None, TaskContext.get().partitionId() << 32
+        row, asked, n_asked, kinds = 0, {}, 0, None
+
+        def questions() -> pa.RecordBatch:
+            n = len(asked)
+            none = [pa.nulls(n, t) for t in kinds]
+            batch = pa.RecordBatch.from_arrays([pa.array(list(asked.keys()), pa.binary()), pa.array([base] * n, pa.int64()), pa.array(list(asked.values()), pa.list_(pa.int32())), *none], names=names)
+            asked.clear()
+            return batch
+
+        names = ["word", "_base", "_at", *summary, "_grams"]
         for batch in batches:
+            kinds = [batch.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), gram_type]
             keys = batch.column(0).to_pylist()
             for a in range(0, len(keys), 128):
                 part = keys[a : a + 128]
-                texts = [batch.column(1)[i].as_py() for i in range(a, a + len(part))]
-                streams = [stream(t) for t in texts]
-                columns: list[list] = [[] for _ in range(5)]
-                for s in streams:
-                    tokens = s.split()
-                    tokens.append(END)
-                    values = [known.get(w) for w in tokens]
-                    rare = [w for w, v in zip(tokens, values, strict=True) if v is None]
-                    sure = [v for v in values if v is not None]
-                    for column, x in zip(columns, (len(tokens), len(sure), math.fsum(sure), len(s), rare), strict=True):
-                        column.append(x)
+                streams = [stream(batch.column(1)[i].as_py()) for i in range(a, a + len(part))]
                 found, counts = grams(streams, depth)
-                scores, per_doc = [0.0] * len(part), [None] * len(part)
                 ends = np.cumsum(counts)
+                scores, per_text = [0.0] * len(part), [None] * len(part)
                 if lookup:
                     sums = np.concatenate([[0.0], np.cumsum(lookup[found])])
                     scores = sums[ends] - sums[ends - counts]
                 else:
-                    per_doc = [[{"gram": g, "n": n} for g, n in zip(*(x.tolist() for x in (lambda u: (u[0].view(np.int64), u[1]))(_unique(found[e - c : e]))), strict=True)] for e, c in zip(ends, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, len(part)),
-                        pa.array(np.arange(row, row + len(part))),
-                        pa.array([held_out(k) for k in part]),
-                        *(pa.array(c, t) for c, t in zip(columns[:3], (pa.int64(), pa.int64(), pa.float64()), strict=True)),
-                        pa.array(np.asarray(scores, dtype=np.float64)),
-                        pa.array(columns[3], pa.int64()),
-                        pa.array(columns[4], pa.list_(pa.binary())),
-                        pa.array(per_doc, gram_type),
-                    ],
-                    names=names,
-                )
+                    each = [_unique(found[e - c : e]) for e, c in zip(ends, counts, strict=True)]
+                    per_text = [[{"gram": g, "n": n} for g, n in zip(u.view(np.int64).tolist(), m.tolist(), strict=True)] for u, m in each]
+                n_tokens, n_known, sure = [], [], []
+                for i, s in enumerate(streams, row):
+                    tokens = s.split()
+                    tokens.append(END)
+                    values = [known.get(w) for w in tokens]
+                    rare = [w for w, v in zip(tokens, values, strict=True) if v is None]
+                    for w in rare:
+                        asked.setdefault(w, []).append(i)
+                    n_asked += len(rare)
+                    n_tokens.append(len(tokens))
+                    n_known.append(len(tokens) - len(rare))
+                    sure.append(math.fsum(v for v in values if v is not None))
+                # A key of its own that no word has spreads the texts' rows over the join.
+                own = [END + (base + i).to_bytes(8, "big") for i in range(row, row + len(part))]
+                columns = [pa.array(own, pa.binary()), pa.array([base] * len(part), pa.int64()), pa.array([[i] for i in range(row, row + len(part))], pa.list_(pa.int32()))]
+                columns += [batch.column(0).slice(a, len(part)), *(pa.array(c, t) for c, t in zip(([held_out(k) for k in part], n_tokens, n_known, sure, scores, [len(s) for s in streams], per_text), kinds[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 row += len(part)
+                if n_asked > MEMO_WORDS:
+                    yield questions()
+                    n_asked = 0
+        if asked:
+            yield questions()
 
     rows = docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(read, schema)
-    plain = names[:-2]
-    if not small:
+    if small:
+        rows = rows.drop("_grams")
+    else:
         # Beyond the bound: the n-grams of each text meet their scores in a shuffle.
         rows = cut(rows)
-        met = rows.select("_row", F.explode("_grams").alias("g")).join(table.hint("merge"), F.col("g.gram") == table["gram"])
-        scored = met.groupBy("_row").agg(F.sum(F.col("g.n") * F.col("log10p")).alias("_score"))
-        rows = rows.join(scored, "_row", "left").withColumn("score", F.coalesce("_score", F.lit(0.0)))
-    # Rare words are joined to the vocabulary; by their share none is hot.
-    words = rows.select(*plain, F.explode_outer("_rare").alias("word"))
+        met = rows.filter("_grams is not null").select("word", F.explode("_grams").alias("g")).join(table.hint("merge"), F.col("g.gram") == table["gram"])
+        scored = met.groupBy(F.col("word").alias("_w")).agg(F.sum(F.col("g.n") * F.col("log10p")).alias("_score"))
+        rows = rows.drop("_grams").join(scored, F.col("word") == F.col("_w"), "left").withColumn("score", F.coalesce("_score", "score")).drop("_w", "_score")
+    # Rare words meet the vocabulary once a task; by their share none is hot.
     light = vocabulary.filter(F.col("c") * heavy < n_train)
-    met = words.join(light, "word", "left")
-    value = F.when(F.col("word").isNull(), 0.0).when(F.col("c").isNull(), F.lit(unknown)).otherwise(F.log10(F.col("c") + F.lit(0.1)) - F.lit(denominator))
-    first = [c for c in plain if c != "_row"]
-    done = met.groupBy("_row").agg(*[F.first(c).alias(c) for c in first], F.sum(value).alias("_more"), F.count("c").alias("_found"))
+    met = rows.join(light, "word", "left")
+    asks = F.col("n_tokens").isNull()
+    value = F.when(asks, F.when(F.col("c").isNull(), F.lit(unknown)).otherwise(F.log10(F.col("c") + F.lit(0.1)) - F.lit(denominator))).otherwise(0.0)
+    each = met.select("_base", F.explode("_at").alias("_i"), *summary, value.alias("_more"), F.when(asks & F.col("c").isNotNull(), 1).otherwise(0).alias("_found"))
+    done = each.groupBy("_base", "_i").agg(*[F.max(c).alias(c) for c in summary], F.sum("_more").alias("_more"), F.sum("_found").alias("_found"))
     return done.select(
         F.col("_id").alias(key), "held_out", "n_tokens", (F.col("n_known") + F.col("_found")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.col("_more")).alias("base_score"), "score", "n_stream_bytes", (-F.col("score") / F.lit(math.log10(2)) / F.col("n_stream_bytes")).alias("bits_per_byte"),
