@@ -88,9 +88,10 @@ def surprisal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bits.groupBy("conv_id", "turn").agg(F.round(F.avg("bits"), 6).alias("mean_bits"), F.round(F.max("bits"), 6).alias("most_bits"))
 
 
-@register(f"""WITH {LEXICON}, asked AS (SELECT DISTINCT lower(unnest({tokens_sql()})) AS token FROM conversations),
-  near AS (SELECT token, word, count FROM asked JOIN lexicon ON length(word) BETWEEN length(token) - 2 AND length(token) + 2 AND word <> token
-    AND {_distance('token', 'word')} <= CASE WHEN length(token) <= 4 THEN 1 ELSE 2 END)
+@register(f"""WITH {LEXICON}, types AS (SELECT DISTINCT lower(unnest({tokens_sql()})) AS token FROM conversations),
+  asked AS (SELECT token, {_NO_QUOTE.format('token')} AS t, CASE WHEN length(token) <= 4 THEN 1 ELSE 2 END AS k, unnest(range(length(token) - 2, length(token) + 3)) AS n FROM types),
+  known AS (SELECT word, count, {_NO_QUOTE.format('word')} AS w, length(word) AS n FROM lexicon),
+  near AS (SELECT token, word, count FROM asked JOIN known USING (n) WHERE t <> w AND levenshtein(t, w) <= k)
   SELECT token, word, count, rank FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY count DESC, word)::INT AS rank FROM near) WHERE rank <= 64""")
 def lexicon_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = model.word_stream(table(spark, sf_dir, "conversations")).select(F.col("word").alias("token"))
