@@ -14,17 +14,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import _BYTE, mix64, slices, span_hashes
+from .textbytes import _BYTE, mix64, prefix_sums, slices, span_hashes
 
 MARK = "▁".encode()
 #: Weight of a byte arc: less than any piece's.
 BYTE_RANK = 1 << 20
+#: Bytes of text that are solved together: equal words share a lattice.
+SLICE = 1 << 21
 
 
 class Pieces:
@@ -67,6 +70,9 @@ class Pieces:
         data = np.frombuffer(b"".join(self.raw[i] for i in ids), dtype=np.uint8)
         ends = np.cumsum(self.lengths[ids_])
         hashes = span_hashes(_BYTE[data], ends - self.lengths[ids_], ends)
+        # Most stretches are no piece: a bit for the first 22 bits of each hash tells them apart before any search.
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[hashes >> np.uint64(42)] = True
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n_bytes in np.unique(self.lengths[ids_]).tolist():
             some = np.flatnonzero(self.lengths[ids_] == n_bytes)
@@ -79,6 +85,12 @@ class Pieces:
         return self.flat[at].tobytes()
 
 
+@lru_cache(maxsize=2)
+def load_pieces(model: str, power: float = 1.0) -> Pieces:
+    """One for each worker process."""
+    return Pieces(model, power)
+
+
 def _char_starts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((data & 0xC0) != 0x80)
 
@@ -91,12 +103,14 @@ class Lattice:
         stretch_end = np.concatenate([starts[1:], [n]])
         room = np.repeat(stretch_end, stretch_end - starts) - np.arange(n)  # bytes left in the stretch
         begin, end, ids = [], [], []
-        values = _BYTE[data]
+        sums, inverse = prefix_sums(_BYTE[data])
         for length, (hashes, of) in pieces.by_length.items():
             at = np.flatnonzero(room >= length)
             if not len(at):
                 continue
-            h = span_hashes(values, at, at + length)
+            h = mix64((sums[at + length] - sums[at]) * inverse[at] + np.uint64(length))
+            some = np.flatnonzero(pieces.maybe[h >> np.uint64(42)])
+            at, h = at[some], h[some]
             slot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             hit = hashes[slot] == h
             begin.append(at[hit])
@@ -116,7 +130,7 @@ class Lattice:
         # Forward sums place by place: all stretches at the same distance from their start at once.
         # Node e (1 .. length) of a stretch is index start + e - 1.
         distance = np.arange(n) - np.repeat(starts, stretch_end - starts)
-        order = np.lexsort((begin, end))
+        order = np.argsort((end << 6) + np.minimum(end - begin, 63), kind="stable")
         begin, end, ids = begin[order], end[order], ids[order]
         node = end - 1
         log_w = pieces.log_weight[ids]
@@ -143,20 +157,23 @@ class Lattice:
             sums = np.bincount(of, weights=part, minlength=len(nodes))
             with np.errstate(divide="ignore"):
                 total[nodes] = np.log(sums) + most
-            # Arcs of a node: running shares, on top of the node's number, so that one search serves all nodes.
+            # Arcs of a node: running shares.
             run = np.cumsum(part)
             base = np.concatenate([[0.0], run])[np.cumsum(counts) - counts]
             share[arcs] = np.where(sums[of] > 0, (run - base[of]) / np.where(sums[of] > 0, sums[of], 1.0), 0.0)
         last = np.zeros(len(node), dtype=bool)
         last[first[1:][first[1:] > first[:-1]] - 1] = True
-        share[last] = 1.0
+        share[last] = 2.0  # over any u
         self.begin, self.ids, self.first, self.share, self.log_total = begin, ids, first, share, total
-        self.cumulative = node + np.minimum(share, 1.0)
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An arc into each node, by shares."""
-        arc = np.searchsorted(self.cumulative, node + u, "right")
-        return np.clip(arc, self.first[node], self.first[node + 1] - 1)
+        """An arc into each node, by shares: the first whose running share is over u. Nodes have few arcs."""
+        arc = self.first[node]
+        left = np.flatnonzero(self.share[arc] <= u)
+        while len(left):
+            arc[left] += 1
+            left = left[self.share[arc[left]] <= u[left]]
+        return arc
 
 
 def row_seed(key: object, seed: int) -> int:
@@ -215,10 +232,10 @@ def sample_pieces(docs: DataFrame, *, model: str, key: str = "doc_id", text: str
     names = [key, "n_bytes", "n_pieces", "piece_ids", "lossless"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model, power)
+        pieces = load_pieces(model, power)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for a, b, data, offsets in slices(batch.column(1)):
+            for a, b, data, offsets in slices(batch.column(1), SLICE):
                 seeds = np.array([row_seed(k, seed) for k in keys[a:b]], dtype=np.uint64)
                 ids, n = sample_segmentations(data, offsets, seeds, pieces)
                 ends = np.cumsum(n)
@@ -237,7 +254,7 @@ def decode_pieces(rows: DataFrame, *, model: str, ids: str = "piece_ids", text:
     """``rows`` with the text that their ids stand for; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = load_pieces(model)
         for batch in batches:
             texts = [None if x is None else pieces.decode(np.array(x, dtype=np.int64)).decode() for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, text])

@@ -47,6 +47,14 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, inverse powers) from which a span's hash is ``mix64((sums[end] - sums[start]) * inverse[start] + length)``."""
+    n = len(values)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(values * powers(_BASE, n), out=sums[1:])
+    return sums, powers(_INVERSE, n + 1)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Polynomial hash modulo 2**64 of values[start:end] for every span, by prefix sums."""
     n = len(values)
