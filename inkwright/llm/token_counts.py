@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pieces that a worker keeps in mind; at the bound it starts anew.
-MEMO = 500_000
+#: Pieces that a worker keeps in mind, twice: those of late, and those of the time before that.
+MEMO = 250_000
 CACHE_SCHEMA = "version string, digest string, n_tokens long"
 
 
@@ -38,7 +39,10 @@ class PieceCounter:
 
     def __init__(self, path: str):
         import json
+        import os
 
+        # One task, one core: threads of the library would each keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,6 +58,7 @@ class PieceCounter:
             and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or any(ch.isspace() for ch in x["content"]) for x in rules.get("added_tokens", []))
         )
         self.memo: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
 
     def _encode(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,18 +67,28 @@ class PieceCounter:
         if not self.by_word:
             return [n for i in range(0, len(texts), 64) for n in self._encode(texts[i : i + 64])]
         out = []
-        for i in range(0, len(texts), 256):
-            pieces = [t.encode().split() for t in texts[i : i + 256]]
-            new = list({p for ps in pieces for p in ps if p not in self.memo})
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = list({p for ps in pieces for p in ps})
-            self.memo.update(zip(new, self._encode([p.decode() for p in new]), strict=True))
-            get = self.memo.__getitem__
+        for i in range(0, len(texts), 128):
+            pieces = [t.encode().split() for t in texts[i : i + 128]]
+            if len(self.memo) > MEMO:
+                self.memo, self.older = {}, self.memo
+            memo, older = self.memo, self.older
+            new = {p for ps in pieces for p in ps if p not in memo}
+            memo.update((p, older[p]) for p in new if p in older)
+            fresh = [p for p in new if p not in memo]
+            for k in range(0, len(fresh), 4096):
+                part = fresh[k : k + 4096]
+                memo.update(zip(part, self._encode([p.decode() for p in part]), strict=True))
+            get = memo.__getitem__
             out += [sum(map(get, ps)) for ps in pieces]
         return out
 
 
+@lru_cache(maxsize=2)
+def piece_counter(path: str) -> PieceCounter:
+    """One for each worker process."""
+    return PieceCounter(path)
+
+
 def _digest(text: str):
     # Alike up to white space is alike to the tokenizer; null counts as empty.
     return F.sha2(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")), 256)
@@ -102,7 +117,7 @@ def token_counts(docs: DataFrame, *, tokenizer: str, cache: str, key: str = "doc
     misses = content.join(known, "digest", "left_anti").repartition("digest")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen = PieceCounter(tokenizer), set()
+        counter, seen = piece_counter(tokenizer), set()
         for batch in batches:
             digests = batch.column(0).to_pylist()
             new = []
