@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import LOWER_TABLE, mix64, runs, slices
+from .textbytes import _BYTE, LOWER_TABLE, mix64, runs, slices, span_hashes
 
 BITS = 18
 #: Bound on the labelled rows that a fit uses: the first by MD5 of their key.
 MAX_LABELLED = 12_000
 MIN_DOCS = 4
+PREFIXES = (4, 5)
 
 
 def _statistics(data: np.ndarray, offsets: np.ndarray, spans, kind: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
@@ -39,11 +40,21 @@ def _statistics(data: np.ndarray, offsets: np.ndarray, spans, kind: np.ndarray,
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(feature ids of all rows one after another, their number by row): each distinct hashed run once, and the shares."""
+    """(feature ids of all rows one after another, their number by row).
+
+    Each distinct hashed run once, the first four and five bytes of longer words (their forms differ
+    in the ending), and the shares.
+    """
     spans, kind = runs(data, offsets)
-    hashes = spans.hashes(LOWER_TABLE[data])
+    values = _BYTE[LOWER_TABLE[data]]
+    hashes = span_hashes(values, spans.starts, spans.ends)
     ids = [(hashes >> np.uint64(64 - bits)).astype(np.int64)]
     row = [spans.row]
+    for size in PREFIXES:
+        long = np.flatnonzero((kind == 1) & (spans.ends - spans.starts > size))
+        prefix = mix64(span_hashes(values, spans.starts[long], spans.starts[long] + size) ^ np.uint64(size))
+        ids.append((prefix >> np.uint64(64 - bits)).astype(np.int64))
+        row.append(spans.row[long])
     for i, level in enumerate(_statistics(data, offsets, spans, kind, hashes)):
         for step in range(1, 9):
             has = np.flatnonzero(level >= step)
@@ -68,8 +79,10 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def fit_ordinal(ids: np.ndarray, counts: np.ndarray, grades: np.ndarray, n_grades: int, *, bits: int = BITS, min_docs: int = MIN_DOCS, l2: float = 1e-4, steps: int = 200, rate: float = 0.05) -> OrdinalModel:
-    """Maximum likelihood with an L2 term by Adam over all given rows at once: no random choices.
+def fit_ordinal(ids: np.ndarray, counts: np.ndarray, grades: np.ndarray, n_grades: int, *, bits: int = BITS, min_docs: int = MIN_DOCS, l1: float = 0.05, steps: int = 300, rate: float = 0.05) -> OrdinalModel:
+    """Maximum likelihood with an L1 term of ``l1 / sqrt(rows)`` by proximal Adam over all given rows at once: no random choices.
+
+    The L1 term keeps words that tell nothing at 0, so a long text isn't judged by the sum of its noise.
 
     Without rows, or with one grade alone, weights are 0 and thresholds follow the (smoothed) shares.
     """
@@ -87,9 +100,7 @@ def fit_ordinal(ids: np.ndarray, counts: np.ndarray, grades: np.ndarray, n_grade
     gaps = np.log(np.maximum(np.diff(thresholds), 1e-3))
     x = np.concatenate([w, thresholds[:1], gaps])
     m, v = np.zeros_like(x), np.zeros_like(x)
-    # Every grade weighs alike, so that a rare one is learned too.
-    weight = (n / n_grades) / np.maximum(np.bincount(grades, minlength=n_grades), 1)
-    weight = weight[grades] / n
+    weight = np.full(n, 1.0 / n)
     k = n_grades - 1
     for t in range(1, steps + 1):
         w, first, gaps = x[: len(used)], x[len(used)], x[len(used) + 1 :]
@@ -106,11 +117,14 @@ def fit_ordinal(ids: np.ndarray, counts: np.ndarray, grades: np.ndarray, n_grade
         g_th = np.zeros(k)
         for j in range(k):
             g_th[j] = -up[grades == j].sum() + down[grades == j + 1].sum()
-        g_w = np.bincount(slot, weights=g_score[row], minlength=len(used)) + l2 * w
+        g_w = np.bincount(slot, weights=g_score[row], minlength=len(used))
         tail = np.cumsum(g_th[::-1])[::-1]
         g = np.concatenate([g_w, [tail[0]], tail[1:] * np.exp(gaps)])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        x = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        size = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        x = x - size * (m / (1 - 0.9**t))
+        w = x[: len(used)]
+        x[: len(used)] = np.sign(w) * np.maximum(np.abs(w) - size[: len(used)] * l1 / np.sqrt(n), 0.0)
     weights[used] = x[: len(used)]
     thresholds = x[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(x[len(used) + 1 :]))])
     return OrdinalModel(weights.astype(np.float32), thresholds, bits)
