@@ -211,7 +211,7 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     cover = np.zeros(period, dtype=bool)
     cover[list(COVERS.get(period, (0,)))] = True
     anchor = window - period + 1
-    groups = 2 * shuffle_partitions(spark)
+    groups = shuffle_partitions(spark)
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "_doc", "_spans", "_rest")]
     rest = [c for c in kept if c not in (key, text)]
     doc = F.coalesce(F.col(key).cast("long"), F.lit(_MISSING)).alias("_doc")
