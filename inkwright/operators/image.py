@@ -132,7 +132,7 @@ def skew_scores(binary: DataFrame, angles: list[float]) -> DataFrame:
     Ink meets the angles by an explode of a fixed list, and is counted by row before anything else moves.
     """
     table = F.array(*[F.struct(F.lit(float(a)).alias("angle"), F.lit(math.sin(math.radians(a))).alias("s"), F.lit(math.cos(math.radians(a))).alias("c")) for a in angles])
-    ink = binary.join(F.broadcast(sizes(binary)), "page_id").filter(F.col("v") < INK).withColumn("a", F.explode(table)).select("page_id", "w", "h", "x", "y", "a.*")
+    ink = binary.join(sizes(binary), "page_id").filter(F.col("v") < INK).withColumn("a", F.explode(table)).select("page_id", "w", "h", "x", "y", "a.*")
     half = lambda c: F.floor(F.col(c) / 2)
     span = F.floor(F.abs(F.col("w") * F.col("s")) + F.abs(F.col("h") * F.col("c"))) + 2
     place = -(F.col("x") - half("w")) * F.col("s") + (F.col("y") - half("h")) * F.col("c") + F.floor(span / 2) + 0.5
@@ -164,7 +164,7 @@ def hough_votes(binary: DataFrame, max_angle: float = 6.0, step: float = 0.5, mi
     slopes = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(math.tan(math.radians(-max_angle + t * step))).alias("slope")) for t in range(n)])
     edge = lambda c: F.floor(F.col(c) / 50) + 1
     inner = (F.col("x") >= edge("w")) & (F.col("x") < F.col("w") - edge("w")) & (F.col("y") >= edge("h")) & (F.col("y") < F.col("h") - edge("h"))
-    ink = binary.join(F.broadcast(sizes(binary)), "page_id").filter((F.col("v") < INK) & inner).withColumn("a", F.explode(slopes))
+    ink = binary.join(sizes(binary), "page_id").filter((F.col("v") < INK) & inner).withColumn("a", F.explode(slopes))
     margin = F.floor(F.col("w") * math.tan(math.radians(max_angle))) + 2
     raw = F.col("y") - F.col("a.slope") * F.col("x") + 0.5
     cell = F.when(raw < 0, F.ceil(raw)).otherwise(F.floor(raw)) + margin
