@@ -9,6 +9,7 @@ at most i + 1 rounds, and a result that reproduces itself is the left-to-right a
 from __future__ import annotations
 
 import math
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,14 @@ from .language import log_probs, surprisal
 from .model import BOUNDARY, bigrams, char_ngrams, language_totals, unigrams
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to ``spark.checkpoint.dir``; where the session names none, to a temporary folder of this machine (tests)."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="inkwright-"))
+    return df.checkpoint(eager=True)
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """The tunables' defaults."""
@@ -135,7 +144,7 @@ def decode(observed: DataFrame, models: Models, limits: Thresholds | None = None
     conf = clamp(F.coalesce("confidence", F.lit(0.0)))
     rows = observed.select(page, "idx", F.coalesce("observed", F.lit("")).alias("observed"), conf.alias("confidence"), F.coalesce("alternatives", F.array().cast("array<struct<text:string,confidence:double>>")).alias("alternatives"))
     rows = rows.withColumn("token", F.lower("observed"))
-    cut = (lambda d: d.checkpoint(eager=True)) if checkpoint else (lambda d: d.cache())
+    cut = settled if checkpoint else (lambda d: d.cache())
     plain = (F.col("observed") == "") | is_nonword(F.col("observed"))
     red = F.col("confidence") < limits.low_confidence
     alt = "array<struct<text:string,score:double>>"

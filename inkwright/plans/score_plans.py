@@ -153,7 +153,8 @@ def page_models(spark: SparkSession, sf_dir: str) -> decode.Models:
     """Models of the documents, with the confusions of their synthetic recognition."""
     docs = documents(spark, sf_dir)
     confusion, spans = fitted(spark, sf_dir)
-    return decode.Models.of(confusion, spans, model.lexicon(docs), model.word_ngrams(docs))
+    # Every round of a decode reads them all: they are made once.
+    return decode.Models.of(*map(decode.settled, (confusion, spans, model.lexicon(docs), model.word_ngrams(docs))))
 
 
 @register()
@@ -182,12 +183,6 @@ def fallback_flag_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.flag_quality(rows).select("tokens", "red", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@register()
-def margin_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = held_out_pages(spark, sf_dir)
-    return evaluate.sweep_margin(pages.drop("truth"), pages.select("page_id", "idx", "truth"), page_models(spark, sf_dir), values=(0.0, 1.0, 4.0))
-
-
 @register(f"""WITH {SAMPLES}, l AS (SELECT doc_id, line, md5('11|' || doc_id || '|' || line) AS h FROM samples GROUP BY doc_id, line)
   SELECT doc_id, line, CASE WHEN row_number() OVER (ORDER BY substr(h, 1, 3), h, doc_id, line) <= floor((SELECT count(*) FROM l) * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM l""")
 def split_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
