@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,42 +72,68 @@ def split_lengths(n: int, length: int) -> Iterator[tuple[int, int]]:
     return ((a, min(n, a + length)) for a in range(0, n, length))
 
 
+class _Memo(dict):
+    """Ids of a space and what follows it up to the next space; worked out at the first question."""
+
+    LIMIT = 400_000
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.unsafe = encode, set()
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        if word[:1].isspace():
+            self.unsafe.add(word)
+        ids = self[word] = tuple(self.encode(" " + word))
+        return ids
+
+
 class WordIds:
-    """Ids of texts by a ``tiktoken`` rank file, memorised by piece.
+    """Ids of texts by a ``tiktoken`` rank file, memorised by word.
 
-    A piece is white space and what follows it up to the next ASCII white space; the file's pattern
-    never matches across the end of such a piece. Texts with other white space (where a run of mixed
-    kinds could be cut) and special strings are encoded whole, as ordinary text.
+    The pattern puts a single space to the word after it, so a text falls apart before each space
+    unless a run of white space goes on behind it: texts with two spaces in a row, or with other white
+    space after a space, are encoded whole. Special strings are ordinary text.
     """
 
-    MEMO = 300_000
-
     def __init__(self, path: str, pattern: str):
         import base64
 
-        import regex
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.odd = regex.compile(r"[^\S\x20\x09-\x0d]").search
-        self.pieces = regex.compile(r"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+\Z").findall
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        if (not text.isascii() and self.odd(text)) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.encoding.encode_ordinary(text), dtype=np.uint32)
-        out: list[int] = []
+        self.memo = _Memo(self.encoding.encode_ordinary)
+
+    def encode(self, text: str, end: tuple[int, ...] = ()) -> np.ndarray:
+        words = text.split(" ")
+        first = self.encoding.encode_ordinary(words[0])
         memo = self.memo
-        for piece in self.pieces(text):
-            ids = memo.get(piece)
-            if ids is None:
-                if len(memo) >= self.MEMO:
-                    memo.clear()
-                ids = memo[piece] = tuple(self.encoding.encode_ordinary(piece))
-            out += ids
-        return np.array(out, dtype=np.uint32)
+        if "  " not in text:
+            ids = np.fromiter(chain(first, chain.from_iterable(map(memo.__getitem__, words[1:])), end), dtype=np.uint32)
+            if not memo.unsafe or memo.unsafe.isdisjoint(words):
+                return ids
+        return np.array([*self.encoding.encode_ordinary(text), *end], dtype=np.uint32)
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str, pattern: str) -> WordIds:
+    """One for each worker process, so that its memory of words serves all of its tasks."""
+    return WordIds(path, pattern)
+
+
+def id_width(tokenizer: str, end_id: int | None) -> int:
+    """Bytes of an id: rank files have a line for each id."""
+    with open(tokenizer, "rb") as f:
+        n = sum(1 for _ in f)
+    return 2 if max(n, (end_id or 0) + 1) <= 1 << 16 else 4
+
+
+def position_width(length: int) -> int:
+    return 2 if length <= 1 << 16 else 4
 
 
 def pack(docs: DataFrame, *, tokenizer: str, pattern: str, length: int = 2048, end_id: int | None = 50256, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -114,7 +142,8 @@ def pack(docs: DataFrame, *, tokenizer: str, pattern: str, length: int = 2048, e
     ``pack_id`` (unique), ``n_tokens`` used, ``doc_ids`` and ``doc_starts`` (the document of each
     segment and the segment's first place in that document's ids), ``cu_seqlens`` (cumulative segment
     lengths, from 0), ``resets`` (places where positions start again at 0), and the little-endian
-    uint32 rows ``input_ids`` and ``position_ids`` of ``length`` numbers each, 0 after n_tokens.
+    rows ``input_ids`` and ``position_ids`` of ``length`` numbers each, 0 after n_tokens; numbers have two
+    bytes where all ids and places are below 2**16 (``id_width``, ``position_width``), else four.
 
     Each text is followed by ``end_id`` (none if None). Documents over ``length`` are split into whole
     rows and a rest, nothing is cut off; the pieces tell document and place, so texts come back exactly.
@@ -129,14 +158,15 @@ def pack(docs: DataFrame, *, tokenizer: str, pattern: str, length: int = 2048, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, serial = WordIds(tokenizer, pattern), TaskContext.get().partitionId() << 32
+        wide, far = f"<u{id_width(tokenizer, end_id)}", f"<u{position_width(length)}"
+        words, serial = word_ids(tokenizer, pattern), TaskContext.get().partitionId() << 32
         block: list[tuple[object, np.ndarray]] = []
 
         def packed(arrow_key: pa.DataType) -> pa.RecordBatch:
             nonlocal serial
             items = [(i, a, b) for i, (_, ids) in enumerate(block) for a, b in split_lengths(len(ids), length)]
             rows = best_fit_decreasing([b - a for _, a, b in items], length)
-            matrix, position = np.zeros((len(rows), length), dtype="<u4"), np.zeros((len(rows), length), dtype="<u4")
+            matrix, position = np.zeros((len(rows), length), dtype=wide), np.zeros((len(rows), length), dtype=far)
             columns: list[list] = [[] for _ in names]
             for r, row in enumerate(rows):
                 at, ends = 0, [0]
@@ -159,9 +189,7 @@ def pack(docs: DataFrame, *, tokenizer: str, pattern: str, length: int = 2048, e
             kind = batch.schema.field(0).type
             keys = batch.column(0).to_pylist()
             for i, k in enumerate(keys):
-                ids = words.encode(batch.column(1)[i].as_py() or "")
-                if end_id is not None:
-                    ids = np.append(ids, np.uint32(end_id))
+                ids = words.encode(batch.column(1)[i].as_py() or "", () if end_id is None else (end_id,))
                 block.append((k, ids))
                 held += len(ids)
                 if held >= block_tokens:
@@ -173,7 +201,7 @@ def pack(docs: DataFrame, *, tokenizer: str, pattern: str, length: int = 2048, e
     return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
-def unpack(packs: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of every segment: the way back from ``pack``."""
-    numbers = F.transform(F.sequence(F.lit(0), F.size("doc_ids") - 1), lambda i: F.struct(F.get("doc_ids", i).alias("doc_id"), F.get("doc_starts", i).alias("start"), F.substring(F.col("input_ids"), F.get("cu_seqlens", i) * 4 + 1, (F.get("cu_seqlens", i + 1) - F.get("cu_seqlens", i)) * 4).alias("ids")))
+def unpack(packs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, start, ids) of every segment, ids of ``width`` bytes: the way back from ``pack``."""
+    numbers = F.transform(F.sequence(F.lit(0), F.size("doc_ids") - 1), lambda i: F.struct(F.get("doc_ids", i).alias("doc_id"), F.get("doc_starts", i).alias("start"), F.substring(F.col("input_ids"), F.get("cu_seqlens", i) * width + 1, (F.get("cu_seqlens", i + 1) - F.get("cu_seqlens", i)) * width).alias("ids")))
     return packs.filter(F.size("doc_ids") > 0).select(F.explode(numbers).alias("s")).select("s.doc_id", "s.start", "s.ids")
