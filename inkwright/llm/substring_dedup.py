@@ -9,6 +9,10 @@ occurs twice, the windows around it are hashed whole (the extension), and equal
 Both groupings are by hash and combine first within a task: a hash goes to its group once a task,
 with its first place; later places of the same task are already known to be repeats. So a passage that
 a third of all documents share costs its group one entry a task.
+
+Repeated rows are entered once: a window doesn't repeat itself. Where rows of one key differ in text,
+a tag tells their texts apart, so what is found in one text isn't removed from another; all others
+have the tag 0.
 """
 
 from __future__ import annotations
@@ -20,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import shuffle_partitions
+from .cluster import cut, shuffle_partitions, small_or_shuffled
 from .textbytes import slices, window_hashes, words
 
 #: Perfect difference sets, by period. Each difference modulo the period occurs.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 WINDOW = 20
 FLUSH = 1 << 20
+#: Keys with more than one text: up to so many are broadcast.
+FEW = 1 << 17
 _MISSING = np.iinfo(np.int64).min
 GROUP_SCHEMA = "g int, a binary, b binary"
 
@@ -46,18 +52,25 @@ def _from_six(b: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _runs(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals in order of document and start, merged where they touch."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], (start + length)[order]
-    other = np.concatenate([[True], doc[1:] != doc[:-1]])
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the entry before; the first entry does."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return new
+
+
+def _runs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals in order of document, tag and start, merged where they touch."""
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start, end = doc[order], tag[order], start[order], (start + length)[order]
+    other = _changes(doc, tag)
     rank = np.cumsum(other) << 40
     reach = np.maximum.accumulate(rank + end)
     new = other.copy()
     new[1:] |= (rank + start)[1:] > reach[:-1]
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(doc)]]) - 1
-    return doc[first], start[first], (reach - rank)[last] - start[first]
+    return doc[first], tag[first], start[first], (reach - rank)[last] - start[first]
 
 
 def _by(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,52 +80,58 @@ def _by(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, np.concatenate([first[1:], [len(order)]])
 
 
-def _interval_rows(doc: np.ndarray, start: np.ndarray, length: np.ndarray, groups: int) -> pa.RecordBatch:
+def _interval_rows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, length: np.ndarray, groups: int) -> pa.RecordBatch:
     """A row for each of the groups that documents are dealt to: its documents' merged intervals."""
-    doc, start, length = _runs(doc, start, length)
-    target = ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % groups
+    doc, tag, start, length = _runs(doc, tag, start, length)
+    mixed = (doc.astype(np.uint64) ^ tag.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    target = (mixed >> np.uint64(40)).astype(np.int64) % groups
     order, first, end = _by(target)
-    doc, start, length = doc[order].astype("<i8"), start[order].astype("<i4"), length[order].astype("<i4")
-    a = [doc[x:y].tobytes() for x, y in zip(first, end, strict=True)]
+    doc, tag, start, length = doc[order].astype("<i8"), tag[order].astype("<i8"), start[order].astype("<i4"), length[order].astype("<i4")
+    a = [doc[x:y].tobytes() + tag[x:y].tobytes() for x, y in zip(first, end, strict=True)]
     b = [start[x:y].tobytes() + length[x:y].tobytes() for x, y in zip(first, end, strict=True)]
     return _rows(groups + target[order][first], a, b)
 
 
-def _read_intervals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    doc = np.concatenate([np.frombuffer(x, dtype="<i8") for x in table.column("a").to_pylist()])
+def _read_intervals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    whose = [np.frombuffer(x, dtype="<i8").reshape(2, -1) for x in table.column("a").to_pylist()]
     both = [np.frombuffer(x, dtype="<i4").reshape(2, -1).astype(np.int64) for x in table.column("b").to_pylist()]
-    return doc, np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
+    return (*np.concatenate(whose, axis=1), *np.concatenate(both, axis=1))
 
 
 def _rows(g: np.ndarray, a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["g", "a", "b"])
 
 
-def _entry_rows(h: np.ndarray, h2: np.ndarray, doc: np.ndarray, place: np.ndarray, groups: int) -> pa.RecordBatch:
-    """Rows (group, -, hashes, documents and places) of entries."""
+def _entry_rows(h: np.ndarray, h2: np.ndarray, doc: np.ndarray, place: np.ndarray, tag: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Rows (group, -, hashes, documents with tags and places) of entries."""
     g = ((h >> np.uint64(48)) % np.uint64(groups)).astype(np.int64)
     order, first, last = _by(g)
-    g, h, h2, doc, place = g[order], h[order], h2[order], doc[order], place[order]
+    g, h, h2, doc, place, tag = g[order], h[order], h2[order], doc[order], place[order], tag[order]
     a, b = [], []
     for s, e in zip(first, last, strict=True):
-        ids, index = np.unique(doc[s:e], return_inverse=True)
+        by_doc = np.lexsort((tag[s:e], doc[s:e]))
+        ids, tags = doc[s:e][by_doc], tag[s:e][by_doc]
+        new = _changes(ids, tags)
+        index = np.empty(e - s, dtype=np.int64)
+        index[by_doc] = np.cumsum(new) - 1
+        ids, tags = ids[new], tags[new]
         wide = "<u2" if len(ids) < 1 << 16 and place[s:e].max() < 1 << 16 else "<u4"
         head = np.array([e - s, len(ids), 2 if wide == "<u2" else 4], dtype="<i8").tobytes()
         a.append(head + _six(h[s:e]).tobytes() + _six(h2[s:e]).tobytes())
-        b.append(ids.astype("<i8").tobytes() + index.astype(wide).tobytes() + place[s:e].astype(wide).tobytes())
+        b.append(ids.astype("<i8").tobytes() + tags.astype("<i8").tobytes() + index.astype(wide).tobytes() + place[s:e].astype(wide).tobytes())
     return _rows(g[first], a, b)
 
 
-def _read_entries(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _read_entries(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, ids, width = np.frombuffer(a, dtype="<i8", count=3)
     hashes = np.frombuffer(a, dtype=np.uint8, offset=24).reshape(-1, 6)
-    docs = np.frombuffer(b, dtype="<i8", count=ids)
-    rest = np.frombuffer(b, dtype=f"<u{width}", offset=8 * ids).astype(np.int64)
-    return _from_six(hashes[:n]), _from_six(hashes[n:]), docs[rest[:n]], rest[n:]
+    docs, tags = np.frombuffer(b, dtype="<i8", count=2 * ids).reshape(2, -1)
+    rest = np.frombuffer(b, dtype=f"<u{width}", offset=16 * ids).astype(np.int64)
+    return _from_six(hashes[:n]), _from_six(hashes[n:]), docs[rest[:n]], rest[n:], tags[rest[:n]]
 
 
 class _Combiner:
-    """Entries of a task: (hash, hash, doc, place), first places to the groups and repeats apart."""
+    """Entries of a task: (hash, hash, doc, place, tag), first places to the groups and repeats apart."""
 
     def __init__(self, groups: int, length: int, back: int, first_repeats: bool):
         #: Intervals cover ``back`` places before a repeat, ``length`` in all; first_repeats: the first place of a repeated hash counts too.
@@ -129,53 +148,56 @@ class _Combiner:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        h, h2, doc, place = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        held = [np.concatenate(x) for x in zip(*self.held, strict=True)]
         self.held, self.size = [], 0
-        order, new = _grouped(h, h2, doc, place)
-        h, h2, doc, place = h[order], h2[order], doc[order], place[order]
-        repeat = _repeats(new, self.first_repeats)
+        entries, first, repeat = _grouped(*held, self.first_repeats)
         if repeat.any():
-            yield _interval_rows(doc[repeat], place[repeat] - self.back, np.full(repeat.sum(), self.length), self.groups)
-        yield _entry_rows(h[new], h2[new], doc[new], place[new], self.groups)
-
+            _, _, doc, place, tag = (x[repeat] for x in entries)
+            yield _interval_rows(doc, tag, place - self.back, np.full(len(doc), self.length), self.groups)
+        yield _entry_rows(*(x[first] for x in entries), self.groups)
 
-def _grouped(h: np.ndarray, h2: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (hash, hash, doc, place), and where a new hash begins."""
-    order = np.lexsort((place, doc, h2, h))
-    a, b = h[order], h2[order]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order, new
 
+def _grouped(h: np.ndarray, h2: np.ndarray, doc: np.ndarray, place: np.ndarray, tag: np.ndarray, first_too: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The different entries in order, which stand at their hash's first (doc, place), and which repeat.
 
-def _repeats(new: np.ndarray, first_too: bool) -> np.ndarray:
-    repeat = ~new
-    if first_too:
-        repeat[:-1] |= ~new[1:]
-    return repeat
+    Repeats are the entries at a later (doc, place) and, if first_too, the first ones that have a later one.
+    """
+    order = np.lexsort((tag, place, doc, h2, h) if tag.any() else (place, doc, h2, h))
+    entries = [x[order] for x in (h, h2, doc, place, tag)]
+    once = _changes(*entries)
+    if not once.all():
+        entries = [x[once] for x in entries]
+    h, h2, doc, place, _ = entries
+    group = np.cumsum(_changes(h, h2)) - 1
+    begin = np.flatnonzero(_changes(group))[group]
+    first = (doc == doc[begin]) & (place == place[begin])
+    if not first_too:
+        return entries, first, ~first
+    several = np.zeros(group[-1] + 1, dtype=bool)
+    several[group[~first]] = True
+    return entries, first, several[group]
 
 
 def _find(entries: DataFrame, groups: int, length: int, back: int, first_repeats: bool) -> DataFrame:
-    """(doc, intervals) of repeated places, a row a document, from entries and intervals known already."""
+    """(doc, tag, intervals) of repeated places, a row a text, from entries and intervals known already."""
 
     def group(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() >= groups:
             return table
         parts = [_read_entries(a, b) for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)]
-        h, h2, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, new = _grouped(h, h2, doc, place)
-        repeat = _repeats(new, first_repeats)
+        entries, _, repeat = _grouped(*(np.concatenate(x) for x in zip(*parts, strict=True)), first_repeats)
         if not repeat.any():
             return table.slice(0, 0)
-        return pa.Table.from_batches([_interval_rows(doc[order][repeat], place[order][repeat] - back, np.full(repeat.sum(), length), groups)])
+        _, _, doc, place, tag = (x[repeat] for x in entries)
+        return pa.Table.from_batches([_interval_rows(doc, tag, place - back, np.full(len(doc), length), groups)])
 
     def gather(table: pa.Table) -> pa.Table:
-        doc, start, length = _runs(*_read_intervals(table))
-        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        doc, tag, start, length = _runs(*_read_intervals(table))
+        first = np.flatnonzero(_changes(doc, tag))
         blobs = [np.concatenate([start[x:y], length[x:y]]).astype("<i4").tobytes() for x, y in zip(first, [*first[1:], len(doc)], strict=True)]
-        return pa.table({"doc": doc[first], "_spans": pa.array(blobs, pa.binary())})
+        return pa.table({"_d": doc[first], "_t": tag[first], "_spans": pa.array(blobs, pa.binary())})
 
-    return entries.groupBy("g").applyInArrow(group, GROUP_SCHEMA).groupBy("g").applyInArrow(gather, "doc long, _spans binary")
+    return entries.groupBy("g").applyInArrow(group, GROUP_SCHEMA).groupBy("g").applyInArrow(gather, "_d long, _t long, _spans binary")
 
 
 def _marked(spans: bytes | None, n: int) -> np.ndarray:
@@ -189,10 +211,6 @@ def _marked(spans: bytes | None, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _doc_numbers(column: pa.Array) -> np.ndarray:
-    return np.array([_MISSING if k is None else int(k) for k in column.to_pylist()], dtype=np.int64)
-
-
 def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """All columns of ``docs`` plus ``n_words, n_removed, kept_text``.
 
@@ -203,8 +221,9 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
 
     Null texts have no words; a null key comes before all others; texts under ``window`` words lose
     nothing. Rows with the same key are one document: where such rows hold the same text, they keep
-    the same words. Columns named like the three results are replaced. Windows are told apart by 96
-    bits of hash over 64-bit word hashes.
+    the same words; where their texts differ, each counts its own places. Columns named like the three
+    results are replaced. Windows are told apart by 96 bits of hash over 64-bit word hashes, different
+    texts of one key by 64 bits.
     """
     spark = docs.sparkSession
     period = period_for(window)
@@ -219,20 +238,20 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Combiner(groups, period, period - 1, True)
         for batch in batches:
-            ids = _doc_numbers(batch.column(0))
-            for a, b, data, offsets in slices(batch.column(1)):
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b, data, offsets in slices(batch.column(2)):
                 spans = words(data, offsets)
                 at, h = window_hashes(spans.hashes(), spans, anchor)
                 place = at - spans.first[spans.row[at]]
                 some = cover[place % period] & (spans.counts[spans.row[at]] >= window)
                 at, h, place = at[some], h[some], place[some]
-                yield from out.add(h, h & np.uint64(0), ids[a:b][spans.row[at]], place)
+                yield from out.add(h, h & np.uint64(0), ids[a:b][spans.row[at]], place, tags[a:b][spans.row[at]])
         yield from out.flush()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Combiner(groups, window, 0, False)
         for batch in batches:
-            ids = _doc_numbers(batch.column("_doc"))
+            ids, tags = batch.column("_doc").to_numpy(), batch.column("_tag").to_numpy()
             marks = batch.column("_spans")
             for a, b, data, offsets in slices(batch.column(text)):
                 spans = words(data, offsets)
@@ -242,7 +261,7 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
                 marked = np.concatenate([np.zeros(0, dtype=bool), *(_marked(marks[a + r].as_py(), n) for r, n in enumerate(spans.counts))])
                 some = marked[at]
                 at, h, h2 = at[some], h[some], h2[some]
-                yield from out.add(h, h2, ids[a:b][spans.row[at]], at - spans.first[spans.row[at]])
+                yield from out.add(h, h2, ids[a:b][spans.row[at]], at - spans.first[spans.row[at]], tags[a:b][spans.row[at]])
         yield from out.flush()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,13 +283,18 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
                 columns = [{key: part.column(key), text: part.column(text)}.get(c) if c in (key, text) else inner.field(rest.index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.string())], names=[*kept, "n_words", "n_removed", "kept_text"])
 
-    found = docs.select(doc, F.col(text).alias("_text")).mapInArrow(anchors, GROUP_SCHEMA)
+    # Keys with more than one text, seldom any: only their texts get a tag.
+    by_key = docs.select(doc, F.xxhash64(text).alias("_tag")).groupBy("_doc").agg(F.min("_tag").alias("_least"), F.max("_tag").alias("_most"))
+    several = small_or_shuffled(cut(by_key.filter("_least <> _most").select(F.col("_doc").alias("_d"))), FEW)
+    whole = docs.select(doc, F.xxhash64(text).alias("_tag"), F.col(key), F.col(text), F.struct(F.lit(0).alias("_zero"), *rest).alias("_rest") if not rest else F.struct(*rest).alias("_rest"))
+    whole = whole.join(several, F.col("_doc") == F.col("_d"), "left").withColumn("_tag", F.when(F.col("_d").isNull(), 0).otherwise(F.col("_tag"))).drop("_d")
+    found = whole.select("_doc", "_tag", text).mapInArrow(anchors, GROUP_SCHEMA)
     near = _find(found, groups, period, period - 1, True)
     # The same exchange of the texts serves both joins.
-    whole = docs.select(doc, F.col(key), F.col(text), F.struct(F.lit(0).alias("_zero"), *rest).alias("_rest") if not rest else F.struct(*rest).alias("_rest"))
-    whole = whole.repartition(shuffle_partitions(spark), "_doc")
-    around = whole.join(near.withColumnRenamed("doc", "_d").hint("shuffle_hash"), F.col("_doc") == F.col("_d")).drop("_d")
+    whole = whole.repartition(shuffle_partitions(spark), "_doc", "_tag")
+    same = (F.col("_doc") == F.col("_d")) & (F.col("_tag") == F.col("_t"))
+    around = whole.join(near.hint("shuffle_hash"), same).drop("_d", "_t")
     again = _find(around.mapInArrow(windows, GROUP_SCHEMA), groups, window, 0, False)
-    joined = whole.join(again.withColumnRenamed("doc", "_d").hint("shuffle_hash"), F.col("_doc") == F.col("_d"), "left").drop("_d")
+    joined = whole.join(again.hint("shuffle_hash"), same, "left").drop("_d", "_t")
     schema = docs.select(*kept).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     return joined.mapInArrow(keep, schema)

@@ -81,6 +81,19 @@ def test_substring_dedup_edge_tables(spark):
     assert sorted((r.doc_id is None, r.n_removed) for r in dedup_substrings(twice).collect()) == [(False, 30), (False, 30), (True, 0)]
 
 
+def test_substring_dedup_of_a_repeated_row(spark):
+    """A row that comes twice repeats nothing, in one task or in several; what is found in one text of a key stays there."""
+    rows = [(1, words_of(30), "a", "x")] * 3 + [(2, words_of(25, 500) + " " + words_of(20, 5), "b", "x")] * 2
+    # One key, two texts: each has its own repeat of what the other documents hold.
+    rows += [(3, words_of(40, 900) + " " + words_of(22, 503), "c", "x"), (3, words_of(24, 2) + " " + words_of(60, 2000), "d", "x")]
+    want = sorted([(1, 30, 0)] * 3 + [(2, 45, 20)] * 2 + [(3, 62, 22), (3, 84, 24)])
+    for n in (1, 5):
+        got = dedup_substrings(spark.createDataFrame(rows, DOCS).repartition(n))
+        assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got.collect()) == want
+    alone = dedup_substrings(spark.createDataFrame(rows[:2], DOCS)).collect()
+    assert [(r.n_removed, r.kept_text) for r in alone] == [(0, words_of(30))] * 2
+
+
 def grams(text, n=5):
     words = wordlist(text)
     return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) or frozenset([tuple(words)] if words else [])
