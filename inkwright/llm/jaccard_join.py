@@ -84,6 +84,12 @@ def band_hashes(sets: np.ndarray, multipliers: np.ndarray, rows: int) -> np.ndar
     return out
 
 
+def _digests(s: np.ndarray) -> tuple[int | None, int | None]:
+    """Two sums that tell sets apart; none for the empty set."""
+    m = mix64(s)
+    return (int(s.sum(dtype=np.uint64).view(np.int64)), int((m * m).sum(dtype=np.uint64).view(np.int64))) if len(s) else (None, None)
+
+
 def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     """left x right: which sets have a Jaccard similarity of ``threshold`` or more. Exact on the full sets."""
     both = np.concatenate([left, right])
@@ -156,12 +162,10 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
-                d1, d2, keys = [], [], []
-                for s in shingle_sets(data, offsets, size):
-                    m = mix64(s)
-                    d1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else None)
-                    d2.append(int((m * m).sum(dtype=np.uint64).view(np.int64)) if len(s) else None)
-                    keys.append(band_hashes(s, multipliers, rows).view(np.int64).tolist() if len(s) else None)
+                sets = shingle_sets(data, offsets, size)
+                digests = [_digests(s) for s in sets]
+                d1, d2 = [d[0] for d in digests], [d[1] for d in digests]
+                keys = [band_hashes(s, multipliers, rows).view(np.int64).tolist() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "d1", "d2", "bands"])
 
     signed = cut(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).mapInArrow(sign, "id long, d1 long, d2 long, bands array<long>"))
@@ -186,11 +190,16 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column("_text")):
-                blobs = [s.astype("<u8").tobytes() for s in shingle_sets(data, offsets, size)]
+                sets = shingle_sets(data, offsets, size)
+                digests = [_digests(s) for s in sets]
+                d1, d2 = [d[0] for d in digests], [d[1] for d in digests]
+                blobs = [s.astype("<u8").tobytes() for s in sets]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "component", "n", "own", "m")), pa.array(blobs, pa.binary())], names=["node", "component", "n", "own", "m", "blob"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "component", "n", "own", "m")), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "component", "n", "own", "m", "d1", "d2", "blob"])
 
-    made = with_text.mapInArrow(sets_of, "node long, component long, n int, own int, m long, blob binary")
+    made = with_text.mapInArrow(sets_of, "node long, component long, n int, own int, m long, d1 long, d2 long, blob binary")
+    # A repeated row is one document: its set is dealt once.
+    made = made.dropDuplicates(["node", "d1", "d2"])
     other = made.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("i", F.least("own", "_o")).withColumn("j", F.greatest("own", "_o"))
     dealt = other.select(group.alias("g"), "node", "component", "own", "i", "j", "m", "blob")
 

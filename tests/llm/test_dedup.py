@@ -147,6 +147,17 @@ def test_jaccard_of_a_family_with_copies(spark, block):
     assert left == {c for c, _ in got.values()}
 
 
+@pytest.mark.parametrize("block", [1024, 1])
+def test_jaccard_of_a_repeated_row_with_near_copies(spark, block):
+    """A repeated row is one document, whether it stands for its copies (100), is one of them (103) or has none (102)."""
+    texts = [*family(3), family(1)[0], "far " * 9]
+    rows = [(100 + i, t, "n", "x") for i, t in enumerate(texts)]
+    again = [rows[0]] * 2 + [(100, rows[0][1].replace(" ", "  "), "n", "x")] + [rows[2], rows[3], rows[4]]
+    got = [(r.doc_id, r.class_id, r.n_links) for r in jaccard_classes(spark.createDataFrame(rows + again, DOCS), block=block).collect()]
+    want = brute_classes([(r[0], r[1]) for r in rows])
+    assert sorted(got) == sorted((r[0], *want[r[0]]) for r in rows + again)
+
+
 def test_jaccard_edge_tables(spark):
     assert jaccard_classes(spark.createDataFrame([], DOCS)).collect() == []
     rows = spark.createDataFrame([(None, "a b c d e f", "n", "x"), (4, "a b c d e f", "n", "x"), (4, "a b c d e f", "n", "x")], DOCS)
