@@ -31,13 +31,20 @@ DENSE = 24
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
-    """(bands, rows): the most rows a band with which ``threshold`` is still found at ``recall`` within ``max_hashes``."""
-    best = (max_hashes, 1)
+    """(bands, rows): the most rows a band with which ``threshold`` is still found at ``recall`` within ``max_hashes``.
+
+    Where even bands of one row need more hashes than that, so many are taken: the recall is kept.
+    """
+    if not (0 < threshold <= 1 and 0 < recall < 1):
+        raise ValueError(f"choose_bands: threshold {threshold}, recall {recall}")
+    best = None
     for rows in range(1, max_hashes + 1):
         p = threshold**rows
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - p)) if p < 1 else 1
-        if bands * rows <= max_hashes:
-            best = (bands, rows)
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-p)) if p < 1 else 1
+        # Bands never get fewer with the rows: no later count fits either.
+        if best and bands * rows > max_hashes:
+            break
+        best = (bands, rows)
     return best
 
 

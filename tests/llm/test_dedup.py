@@ -123,6 +123,16 @@ def test_bands_reach_the_recall():
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
 
 
+def test_bands_reach_the_recall_at_low_thresholds():
+    for threshold in (0.95, 0.7, 0.5, 0.1, 0.05, 0.01, 0.001):
+        bands, rows = choose_bands(threshold, 0.9999)
+        assert 1 - (1 - threshold**rows) ** bands >= 0.9999
+        assert bands * rows <= 128 or rows == 1
+    assert choose_bands(0.8, 0.9999) == (24, 5) and choose_bands(1.0, 0.9999) == (1, 128)
+    with pytest.raises(ValueError):
+        choose_bands(0.0, 0.9999)
+
+
 @pytest.mark.parametrize("block", [1024, 3])
 def test_jaccard_is_brute_force(spark, sf_dir, block):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
