@@ -29,16 +29,32 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
+def read_rules(path: str) -> dict:
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def cuts_by_word(rules: dict) -> bool:
+    """If a tokenizer file's normaliser folds white space and its splitter drops it."""
+    steps = (rules.get("normalizer") or {}).get("normalizers", [])
+    cuts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        any(s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} for s in steps)
+        and any(c["type"] == "Split" and c["behavior"] == "Removed" and c["invert"] and "\\s" not in c["pattern"]["Regex"].replace(r"[^\s", "") for c in cuts)
+        and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or any(ch.isspace() for ch in x["content"]) for x in rules.get("added_tokens", []))
+    )
+
+
 class PieceCounter:
     """Token counts of texts by a ``tokenizers`` file whose rules never look across white space.
 
     Text is cut at ASCII white space, each distinct piece is encoded once by the library and counted.
-    ``by_word`` says if the file allows this: its normaliser folds white space, and its splitter drops
-    it. Otherwise whole texts go to the library.
+    ``by_word`` says if the file allows this. Otherwise whole texts go to the library.
     """
 
     def __init__(self, path: str):
-        import json
         import os
 
         # One task, one core: threads of the library would each keep memory of their own.
@@ -48,15 +64,7 @@ class PieceCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            rules = json.load(f)
-        steps = (rules.get("normalizer") or {}).get("normalizers", [])
-        cuts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.by_word = (
-            any(s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} for s in steps)
-            and any(c["type"] == "Split" and c["behavior"] == "Removed" and c["invert"] and "\\s" not in c["pattern"]["Regex"].replace(r"[^\s", "") for c in cuts)
-            and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or any(ch.isspace() for ch in x["content"]) for x in rules.get("added_tokens", []))
-        )
+        self.by_word = cuts_by_word(read_rules(path))
         self.memo: dict[bytes, int] = {}
         self.older: dict[bytes, int] = {}
 
@@ -89,9 +97,10 @@ def piece_counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
-def _digest(text: str):
-    # Alike up to white space is alike to the tokenizer; null counts as empty.
-    return F.sha2(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")), 256)
+def _digest(text: str, by_word: bool):
+    # Alike up to white space is alike to a tokenizer that cuts by word, and to no other; null counts as empty.
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return F.sha2(F.trim(F.regexp_replace(whole, r"[\x20\x09-\x0D]+", " ")) if by_word else whole, 256)
 
 
 def stored_counts(spark: SparkSession, cache: str) -> DataFrame:
@@ -111,9 +120,11 @@ def token_counts(docs: DataFrame, *, tokenizer: str, cache: str, key: str = "doc
     bytes and tokens; rows keep their number and other columns are not read.
     """
     spark = docs.sparkSession
-    version = tokenizer_version(tokenizer)
+    by_word = cuts_by_word(read_rules(tokenizer))
+    # Older caches hold counts by folded digests: where white space matters, those are another version's.
+    version = tokenizer_version(tokenizer) + ("" if by_word else "-whole")
     known = stored_counts(spark, cache).filter(F.col("version") == version).select("digest", "n_tokens")
-    content = docs.select(_digest(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    content = docs.select(_digest(text, by_word).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     misses = content.join(known, "digest", "left_anti").repartition("digest")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,5 +145,5 @@ def token_counts(docs: DataFrame, *, tokenizer: str, cache: str, key: str = "doc
     found = misses.mapInArrow(encode, "digest string, n_tokens long")
     found.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     stored = stored_counts(spark, cache).filter(F.col("version") == version).select("digest", "n_tokens")
-    rows = docs.select(F.col(key), _digest(text).alias("digest"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = docs.select(F.col(key), _digest(text, by_word).alias("digest"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"))
     return rows.join(stored, "digest", "left").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

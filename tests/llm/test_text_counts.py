@@ -108,6 +108,21 @@ def test_token_counts_are_the_librarys(spark, sf_dir, tmp_path):
     assert token_counts.token_counts(more.limit(0), tokenizer=path, cache=cache).collect() == []
 
 
+def test_token_counts_where_white_space_matters(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = token_counts.tokenizer_file("byte_bpe_50k.json")
+    texts = [None, "", " ", "a b", "a  b", " a b", "a b ", "a\nb", "a\n\nb", "a\r\nb", "a\tb", "a b", "x  =  1\n    y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = Tokenizer.from_file(path)
+    want = {i: len(library.encode(t or "", add_special_tokens=False)) for i, t in enumerate(texts)}
+    assert want[3] != want[4]
+    cache = f"file://{tmp_path}/cache"
+    for _ in range(2):
+        assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, tokenizer=path, cache=cache).collect()} == want
+    assert spark.read.parquet(cache).count() == len({t or "" for t in texts})
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, ceiling=2.0):
     names = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
