@@ -150,6 +150,19 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.expected_grade for r in got if r.toxic]) < np.mean([r.expected_grade for r in got if not r.toxic and r.quality == 0]) < np.mean([r.expected_grade for r in got if r.quality and not r.toxic])
 
 
+def test_held_out_shares_are_those_of_the_readme(spark):
+    """With 2,631 labelled rows 0.987, 0.067 and 0.020 were measured."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = q.fit_classifier(docs, labels.filter("doc_id % 3 <> 0"))
+    rest = labels.filter("doc_id % 3 = 0")
+    got = quality_classifier.grade_texts(docs.join(F.broadcast(rest), "doc_id"), model).select("quality", "toxic", "p_tail").collect()
+    kept = lambda rows: np.mean([r.p_tail >= q.LEAST_TAIL for r in rows])
+    assert kept([r for r in got if r.quality == 1 and not r.toxic]) >= 0.98
+    assert kept([r for r in got if r.quality == 0]) <= 0.08 and kept([r for r in got if r.toxic]) <= 0.03
+
+
 def test_classifier_edges(spark):
     rows = odd_rows(spark).withColumn("p_tail", F.lit("old")).withColumn("g", F.lit(None).cast("int"))
     model = quality_classifier.fit(rows, key="doc_id", text="text", grade="g", n_grades=3)
