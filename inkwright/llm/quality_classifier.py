@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ BITS = 18
 #: Bound on the labelled rows that a fit uses: the first by MD5 of their key.
 MAX_LABELLED = 12_000
 MIN_DOCS = 4
+#: Entries (a feature of a row) that a step of the fit works on at a time.
+CHUNK = 1 << 18
 PREFIXES = (4, 5)
 
 
@@ -79,6 +82,58 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
+def _segment_sums(values: np.ndarray, of: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of ``values[of]`` over the segments of ``of`` that end at ``ends``, some segments at a time."""
+    out, at, entry = np.zeros(len(ends)), 0, 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, entry + CHUNK, "right")))
+        starts = np.concatenate([[entry], ends[at : to - 1]])
+        some = np.flatnonzero(ends[at:to] > starts)  # an empty segment has no sum of its own
+        if len(some):
+            out[at + some] = np.add.reduceat(values.take(of[entry : ends[to - 1]], mode="clip"), starts[some] - entry)
+        at, entry = to, int(ends[to - 1])
+    return out
+
+
+@dataclass(frozen=True)
+class Sample:
+    """Labelled rows: the feature slots of each row, the rows of each slot, and the rows' grades."""
+
+    slots: np.ndarray
+    row_ends: np.ndarray
+    rows: np.ndarray
+    slot_ends: np.ndarray
+    grades: np.ndarray
+    n_grades: int
+
+    @classmethod
+    def of(cls, slots: np.ndarray, row_ends: np.ndarray, n_slots: int, grades: np.ndarray, n_grades: int) -> Sample:
+        rows = np.repeat(np.arange(len(grades)), np.diff(row_ends, prepend=0))
+        rows = rows[np.argsort(slots, kind="stable")]
+        return cls(slots.astype(np.int64), row_ends, rows, np.cumsum(np.bincount(slots, minlength=n_slots)), grades, n_grades)
+
+
+def _thresholds(x: np.ndarray, n_slots: int) -> np.ndarray:
+    """Thresholds of a state: the first as it is, the gaps to the next ones by their logarithms."""
+    return x[n_slots] + np.concatenate([[0.0], np.cumsum(np.exp(x[n_slots + 1 :]))])
+
+
+def loss_and_gradient(x: np.ndarray, sample: Sample) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of the grades and its gradient, for weights, first threshold and log gaps ``x``."""
+    n_slots, n, k = len(sample.slot_ends), len(sample.grades), sample.n_grades - 1
+    th, rows = _thresholds(x, n_slots), np.arange(n)
+    score = _segment_sums(x[:n_slots], sample.slots, sample.row_ends)
+    cdf = 1 / (1 + np.exp(-np.clip(th[None, :] - score[:, None], -40, 40)))
+    full = np.pad(cdf, ((0, 0), (1, 1)), constant_values=((0, 0), (0, 1)))
+    p = np.maximum(full[rows, sample.grades + 1] - full[rows, sample.grades], 1e-12)
+    slope = np.pad(cdf * (1 - cdf), ((0, 0), (1, 1)))
+    up, down = slope[rows, sample.grades + 1] / p / n, slope[rows, sample.grades] / p / n
+    g_th = np.bincount(sample.grades, weights=-up, minlength=k + 1)[:k] + np.bincount(sample.grades, weights=down, minlength=k + 1)[1:]
+    tail = np.cumsum(g_th[::-1])[::-1]
+    g_w = _segment_sums(up - down, sample.rows, sample.slot_ends)
+    return -float(np.log(p).mean()), np.concatenate([g_w, tail[:1], tail[1:] * np.exp(x[n_slots + 1 :])])
+
+
 def fit_ordinal(ids: np.ndarray, counts: np.ndarray, grades: np.ndarray, n_grades: int, *, bits: int = BITS, min_docs: int = MIN_DOCS, l1: float = 0.05, steps: int = 300, rate: float = 0.05) -> OrdinalModel:
     """Maximum likelihood with an L1 term of ``l1 / sqrt(rows)`` by proximal Adam over all given rows at once: no random choices.
 
@@ -89,49 +144,38 @@ def fit_ordinal(ids: np.ndarray, counts: np.ndarray, grades: np.ndarray, n_grade
     n = len(grades)
     share = np.cumsum(np.bincount(grades, minlength=n_grades)[: n_grades - 1] + 0.5) / (n + 0.5 * n_grades)
     thresholds = np.log(share / (1 - share))
-    weights = np.zeros(1 << bits)
+    weights = np.zeros(1 << bits, dtype=np.float32)
     if n == 0 or len(set(grades.tolist())) < 2:
-        return OrdinalModel(weights.astype(np.float32), thresholds, bits)
-    known = np.bincount(ids, minlength=1 << bits) >= min_docs
-    row = np.repeat(np.arange(n), counts)
-    row, ids = row[known[ids]], ids[known[ids]]
-    used, slot = np.unique(ids, return_inverse=True)
-    w = np.zeros(len(used))
-    gaps = np.log(np.maximum(np.diff(thresholds), 1e-3))
-    x = np.concatenate([w, thresholds[:1], gaps])
+        return OrdinalModel(weights, thresholds, bits)
+    used = np.flatnonzero(np.bincount(ids, minlength=1 << bits) >= min_docs)
+    slot_of = np.full(1 << bits, -1, dtype=np.int32)
+    slot_of[used] = np.arange(len(used), dtype=np.int32)
+    slots = slot_of[ids]
+    known = slots >= 0
+    ends = np.concatenate([[0], np.cumsum(known)])[np.cumsum(counts)]
+    m_used = len(used)
+    sample = Sample.of(slots[known], ends, m_used, grades, n_grades)
+    x = np.concatenate([np.zeros(m_used), thresholds[:1], np.log(np.maximum(np.diff(thresholds), 1e-3))])
     m, v = np.zeros_like(x), np.zeros_like(x)
-    weight = np.full(n, 1.0 / n)
-    k = n_grades - 1
     for t in range(1, steps + 1):
-        w, first, gaps = x[: len(used)], x[len(used)], x[len(used) + 1 :]
-        th = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        s = np.bincount(row, weights=w[slot], minlength=n)
-        cdf = 1 / (1 + np.exp(-np.clip(th[None, :] - s[:, None], -40, 40)))
-        full = np.concatenate([np.zeros((n, 1)), cdf, np.ones((n, 1))], axis=1)
-        high, low = full[np.arange(n), grades + 1], full[np.arange(n), grades]
-        p = np.maximum(high - low, 1e-12)
-        slope = cdf * (1 - cdf)
-        slope = np.concatenate([np.zeros((n, 1)), slope, np.zeros((n, 1))], axis=1)
-        up, down = slope[np.arange(n), grades + 1] / p * weight, slope[np.arange(n), grades] / p * weight
-        g_score = up - down
-        g_th = np.zeros(k)
-        for j in range(k):
-            g_th[j] = -up[grades == j].sum() + down[grades == j + 1].sum()
-        g_w = np.bincount(slot, weights=g_score[row], minlength=len(used))
-        tail = np.cumsum(g_th[::-1])[::-1]
-        g = np.concatenate([g_w, [tail[0]], tail[1:] * np.exp(gaps)])
+        g = loss_and_gradient(x, sample)[1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         size = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         x = x - size * (m / (1 - 0.9**t))
-        w = x[: len(used)]
-        x[: len(used)] = np.sign(w) * np.maximum(np.abs(w) - size[: len(used)] * l1 / np.sqrt(n), 0.0)
-    weights[used] = x[: len(used)]
-    thresholds = x[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(x[len(used) + 1 :]))])
-    return OrdinalModel(weights.astype(np.float32), thresholds, bits)
+        w = x[:m_used]
+        x[:m_used] = np.sign(w) * np.maximum(np.abs(w) - size[:m_used] * l1 / np.sqrt(n), 0.0)
+    weights[used] = x[:m_used]
+    return OrdinalModel(weights, _thresholds(x, m_used), bits)
 
 
 def fit(labelled: DataFrame, *, key: str, text: str, grade: str, n_grades: int, max_rows: int = MAX_LABELLED) -> OrdinalModel:
-    """Fit on at most ``max_rows`` rows of ``labelled`` (null grades left out), the first by MD5 of the key and by grade."""
+    """Fit on at most ``max_rows`` rows of ``labelled`` (null grades left out), the first by MD5 of the key and by grade.
+
+    The sample is fitted in one task, on four bytes for each distinct feature of each of its rows, and
+    only the weights (four bytes for each of the 2**bits features) come to the driver. A null key counts
+    as an empty one; a repeated row counts as often as it comes; null and empty texts have no features
+    but count for the thresholds.
+    """
     rows = (
         labelled.filter(F.col(grade).isNotNull())
         .select(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("_order"), F.col(grade).cast("int").alias("_grade"), F.col(text).alias("_text"))
@@ -145,11 +189,21 @@ def fit(labelled: DataFrame, *, key: str, text: str, grade: str, n_grades: int,
                 blobs = [ids[e - c : e].astype("<i4").tobytes() for e, c in zip(ends, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("_order").slice(a, b - a), batch.column("_grade").slice(a, b - a), pa.array(blobs, pa.binary())], names=["_order", "_grade", "_ids"])
 
-    sample = rows.mapInArrow(extract, "_order string, _grade int, _ids binary").orderBy("_order", "_grade", "_ids").limit(max_rows).toArrow()
-    blobs = sample.column("_ids").to_pylist()
-    counts = np.array([len(x) // 4 for x in blobs], dtype=np.int64)
-    ids = np.frombuffer(b"".join(blobs), dtype="<i4").astype(np.int64)
-    return fit_ordinal(ids, counts, np.array(sample.column("_grade").to_pylist(), dtype=np.int64), n_grades)
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, counts, grades = [np.zeros(0, dtype="<i4")], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for batch in batches:
+            blobs = batch.column("_ids")
+            ids.append(np.frombuffer(b"".join(x.as_buffer() for x in blobs), dtype="<i4"))
+            counts.append(pc.binary_length(blobs).to_numpy().astype(np.int64) // 4)
+            grades.append(batch.column("_grade").to_numpy().astype(np.int64))
+        model = fit_ordinal(np.concatenate(ids), np.concatenate(counts), np.concatenate(grades), n_grades)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.thresholds.tolist()], pa.list_(pa.float64()))], names=["weights", "thresholds"])
+
+    sample = rows.mapInArrow(extract, "_order string, _grade int, _ids binary").orderBy("_order", "_grade", "_ids").limit(max_rows)
+    done = sample.mapInArrow(train, "weights binary, thresholds array<double>").first()
+    if done is None:  # no labelled row at all
+        return fit_ordinal(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), n_grades)
+    return OrdinalModel(np.frombuffer(done["weights"], dtype="<f4"), np.array(done["thresholds"]))
 
 
 def grade_texts(docs: DataFrame, model: OrdinalModel, *, text: str = "text", tail: int | None = None) -> DataFrame:

@@ -189,6 +189,40 @@ def test_ordinal_gradient_finds_the_order():
     assert m.weights[10] < m.weights[11] < m.weights[12]
 
 
+def plain_loss(x, rows, grades, n_slots, n_grades):
+    """The cumulative-link likelihood written out: P(grade <= k) = 1 / (1 + exp(score - t_k))."""
+    thresholds = [x[n_slots]]
+    for gap in x[n_slots + 1 :]:
+        thresholds.append(thresholds[-1] + math.exp(gap))
+    loss = 0.0
+    for slots, grade in zip(rows, grades, strict=True):
+        score = sum(x[i] for i in slots)
+        at_most = [0.0, *(1 / (1 + math.exp(score - t)) for t in thresholds), 1.0]
+        loss -= math.log(at_most[grade + 1] - at_most[grade]) / len(rows)
+    assert len(thresholds) == n_grades - 1
+    return loss
+
+
+@pytest.mark.parametrize("chunk", [1 << 18, 3])
+def test_gradient_is_the_plain_likelihoods(monkeypatch, chunk):
+    monkeypatch.setattr(quality_classifier, "CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    n_slots, n_grades = 7, 4
+    rows = [sorted(rng.choice(n_slots, size=k, replace=False).tolist()) for k in (0, 3, 1, 0, 7, 2, 5, 2, 0)]
+    rows[1] = sorted({*rows[1], *range(n_slots)} - {6}) if 6 in rows[1] else rows[1]
+    grades = rng.integers(0, n_grades, len(rows))
+    slots = np.array([i for r in rows for i in r])
+    sample = quality_classifier.Sample.of(slots, np.cumsum([len(r) for r in rows]), n_slots, grades, n_grades)
+    x = rng.normal(size=n_slots + n_grades - 1)
+    loss, gradient = quality_classifier.loss_and_gradient(x, sample)
+    assert loss == pytest.approx(plain_loss(x, rows, grades, n_slots, n_grades))
+    for i in range(len(x)):
+        step = np.zeros_like(x)
+        step[i] = 1e-6
+        slope = (plain_loss(x + step, rows, grades, n_slots, n_grades) - plain_loss(x - step, rows, grades, n_slots, n_grades)) / 2e-6
+        assert gradient[i] == pytest.approx(slope, abs=1e-7)
+
+
 # --- piece sampling -----------------------------------------------------------------------------
 
 MODEL = tokenizer_file("piece_bpe_32k.model")
