@@ -13,6 +13,7 @@ of (seed, row key, place), so a row's segmentation doesn't depend on its neighbo
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import _BYTE, mix64, prefix_sums, slices, span_hashes
+from .textbytes import LOW, eights, equal_spans, mix64, slices, span_hashes, span_ids
 
 MARK = "▁".encode()
 #: Weight of a byte arc: less than any piece's.
 BYTE_RANK = 1 << 20
+#: Stretches over so many bytes are solved one by one: in step with others each byte would cost a pass.
+LONG_STRETCH = 512
 #: Bytes of text that are solved together: equal words share a lattice.
 SLICE = 1 << 21
 
@@ -45,7 +48,7 @@ class Pieces:
         self.byte_id = np.full(256, -1, dtype=np.int64)
         # Stored forms: a space instead of the mark, the byte itself for byte pieces.
         self.raw: list[bytes] = [b""] * n
-        rank, hashes, ids = 0, [], []
+        rank, ids = 0, []
         self.log_weight = np.full(n, -np.inf)
         for i in range(n):
             piece = p.id_to_piece(i)
@@ -67,17 +70,47 @@ class Pieces:
         self.flat = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
         self.begin = np.cumsum(self.lengths) - self.lengths
         ids_ = np.array(ids)
-        data = np.frombuffer(b"".join(self.raw[i] for i in ids), dtype=np.uint8)
-        ends = np.cumsum(self.lengths[ids_])
-        hashes = span_hashes(_BYTE[data], ends - self.lengths[ids_], ends)
-        # Most stretches are no piece: a bit for the first 22 bits of each hash tells them apart before any search.
+        # Most stretches are no piece: a bit for the first eight bytes and the length tells them apart before any search.
         self.maybe = np.zeros(1 << 22, dtype=bool)
-        self.maybe[hashes >> np.uint64(42)] = True
+        first = eights(self.flat)[self.begin[ids_]]
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n_bytes in np.unique(self.lengths[ids_]).tolist():
             some = np.flatnonzero(self.lengths[ids_] == n_bytes)
-            order = some[np.argsort(hashes[some])]
-            self.by_length[n_bytes] = hashes[order], ids_[order]
+            head = first[some] & LOW[min(n_bytes, 8)]
+            self.maybe[self.bit(head, n_bytes)] = True
+            begin = self.begin[ids_[some]]
+            keys = head if n_bytes <= 8 else span_hashes(self.flat, begin, begin + n_bytes)
+            order = np.argsort(keys)
+            if len(np.unique(keys)) < len(keys):
+                raise ValueError("two pieces of one form or hash")
+            self.by_length[n_bytes] = keys[order], ids_[some][order]
+
+    @staticmethod
+    def bit(head: np.ndarray, length: int) -> np.ndarray:
+        return mix64(head + np.uint64(length * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(42)
+
+    def matches(self, data: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, piece id) of every piece that the bytes hold within ``room`` bytes of a place."""
+        heads, places, found = eights(data), [], []
+        for length, (keys, of) in self.by_length.items():
+            at = np.flatnonzero(room >= length)
+            key = heads[at] & LOW[min(length, 8)]
+            some = np.flatnonzero(self.maybe[self.bit(key, length)])
+            at, key = at[some], key[some]
+            if not len(at):
+                continue
+            if length > 8:
+                key = span_hashes(data, at, at + length)
+            slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = np.flatnonzero(keys[slot] == key)
+            at, ids = at[hit], of[slot[hit]]
+            if length > 8:  # up to eight bytes the key is the piece itself
+                sure = equal_spans(np.concatenate([data, self.flat]), at, len(data) + self.begin[ids], np.full(len(at), length))
+                at, ids = at[sure], ids[sure]
+            places.append(at)
+            found.append(ids)
+        none = np.zeros(0, dtype=np.int64)
+        return (np.concatenate(places), np.concatenate(found)) if places else (none, none)
 
     def decode(self, ids: np.ndarray) -> bytes:
         n = self.lengths[ids]
@@ -95,6 +128,28 @@ def _char_starts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((data & 0xC0) != 0x80)
 
 
+def _forward_alone(start: int, end: int, first: np.ndarray, begin: np.ndarray, log_w: np.ndarray, share: np.ndarray) -> None:
+    """Running shares of the arcs of one stretch, node after node."""
+    a0, bounds = int(first[start]), first[start : end + 1].tolist()
+    back, weight = (begin[a0 : bounds[-1]] - start).tolist(), log_w[a0 : bounds[-1]].tolist()
+    out, total, exp = [0.0] * len(back), [0.0] + [-math.inf] * (end - start), math.exp
+    for node in range(end - start):
+        a, b = bounds[node] - a0, bounds[node + 1] - a0
+        if a == b:
+            continue
+        values = [weight[i] + total[back[i]] for i in range(a, b)]
+        most = max(values)
+        if most == -math.inf:
+            continue
+        parts = [exp(v - most) for v in values]
+        whole, run = sum(parts), 0.0
+        total[node + 1] = most + math.log(whole)
+        for i, part in zip(range(a, b), parts, strict=True):
+            run += part
+            out[i] = run / whole
+    share[a0 : bounds[-1]] = out
+
+
 class Lattice:
     """Arcs and forward sums of many stretches at once: their bytes lie one after another in ``data``."""
 
@@ -102,21 +157,8 @@ class Lattice:
         n = len(data)
         stretch_end = np.concatenate([starts[1:], [n]])
         room = np.repeat(stretch_end, stretch_end - starts) - np.arange(n)  # bytes left in the stretch
-        begin, end, ids = [], [], []
-        sums, inverse = prefix_sums(_BYTE[data])
-        for length, (hashes, of) in pieces.by_length.items():
-            at = np.flatnonzero(room >= length)
-            if not len(at):
-                continue
-            h = mix64((sums[at + length] - sums[at]) * inverse[at] + np.uint64(length))
-            some = np.flatnonzero(pieces.maybe[h >> np.uint64(42)])
-            at, h = at[some], h[some]
-            slot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[slot] == h
-            begin.append(at[hit])
-            end.append(at[hit] + length)
-            ids.append(of[slot[hit]])
-        begin, end, ids = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (begin, end, ids))
+        begin, ids = pieces.matches(data, room)
+        end = begin + pieces.lengths[ids]
         # Characters that no piece stands for alone: an arc for each byte.
         chars = _char_starts(data)
         char_end = np.concatenate([chars[1:], [n]])
@@ -137,8 +179,9 @@ class Lattice:
         first = np.searchsorted(node, np.arange(n + 1))
         total = np.full(n + 1, -np.inf)  # last: before the start of any stretch
         share = np.zeros(len(node))
-        by_distance = np.argsort(distance, kind="stable")
-        bounds = np.searchsorted(distance[by_distance], np.arange(distance.max() + 2 if n else 1))
+        short = np.flatnonzero(np.repeat(stretch_end - starts <= LONG_STRETCH, stretch_end - starts))
+        by_distance = short[np.argsort(distance[short], kind="stable")]
+        bounds = np.searchsorted(distance[by_distance], np.arange(distance[short].max() + 2 if len(short) else 1))
         is_start = np.zeros(n, dtype=bool)
         is_start[starts] = True
         for d in range(len(bounds) - 1):
@@ -161,10 +204,27 @@ class Lattice:
             run = np.cumsum(part)
             base = np.concatenate([[0.0], run])[np.cumsum(counts) - counts]
             share[arcs] = np.where(sums[of] > 0, (run - base[of]) / np.where(sums[of] > 0, sums[of], 1.0), 0.0)
+        for i in np.flatnonzero(stretch_end - starts > LONG_STRETCH).tolist():
+            _forward_alone(int(starts[i]), int(stretch_end[i]), first, begin, log_w, share)
         last = np.zeros(len(node), dtype=bool)
         last[first[1:][first[1:] > first[:-1]] - 1] = True
         share[last] = 2.0  # over any u
-        self.begin, self.ids, self.first, self.share, self.log_total = begin, ids, first, share, total
+        self.begin, self.ids, self.first, self.share = begin, ids, first, share
+
+    def walk(self, start: int, u: np.ndarray) -> tuple[list[int], list[int]]:
+        """Arcs of one stretch from its end back to its start, and their first places within it; u by place."""
+        end = start + len(u)
+        a0, bounds = int(self.first[start]), self.first[start : end + 1].tolist()
+        share, back, draws = self.share[a0 : bounds[-1]].tolist(), (self.begin[a0 : bounds[-1]] - start).tolist(), u.tolist()
+        arcs, places, at = [], [], len(u)
+        while at:
+            i = bounds[at - 1] - a0
+            while share[i] <= draws[at - 1]:
+                i += 1
+            at = back[i]
+            arcs.append(a0 + i)
+            places.append(at)
+        return arcs, places
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An arc into each node, by shares: the first whose running share is over u. Nodes have few arcs."""
@@ -180,6 +240,11 @@ def row_seed(key: object, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}|{'' if key is None else key}".encode(), digest_size=8).digest(), "little")
 
 
+def _draws(seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each place of a text."""
+    return (mix64(seeds + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+
+
 def sample_segmentations(data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """(piece ids of all rows one after another, their number by row)."""
     rows = len(offsets) - 1
@@ -193,8 +258,7 @@ def sample_segmentations(data: np.ndarray, offsets: np.ndarray, seeds: np.ndarra
     cut[offsets[:-1][offsets[:-1] < n]] = True
     starts = np.flatnonzero(cut)
     ends = np.concatenate([starts[1:], [n]])
-    h = span_hashes(_BYTE[data], starts, ends)
-    _, example, kind = np.unique(h, return_index=True, return_inverse=True)
+    kind, example = span_ids(data, starts, ends)
     length = ends - starts
     own = length[example]
     own_start = np.cumsum(own) - own
@@ -203,11 +267,15 @@ def sample_segmentations(data: np.ndarray, offsets: np.ndarray, seeds: np.ndarra
     # Backward, all occurrences in step. place: bytes of the stretch not yet segmented.
     row = np.searchsorted(offsets, starts, "right") - 1
     seed_of, into = seeds[row], starts - offsets[row]
-    place, live = length.copy(), np.arange(len(starts))
-    begins, ids = [], []
+    place, live = length.copy(), np.flatnonzero(length <= LONG_STRETCH)
+    begins, ids = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i in np.flatnonzero(length > LONG_STRETCH).tolist():
+        arcs, places = lattice.walk(int(own_start[kind[i]]), _draws(seed_of[i], into[i] + np.arange(1, length[i] + 1)))
+        begins.append(starts[i] + np.array(places))
+        ids.append(lattice.ids[np.array(arcs)])
     while len(live):
         p = place[live]
-        u = (mix64(seed_of[live] + (into[live] + p).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+        u = _draws(seed_of[live], into[live] + p)
         arc = lattice.draw(own_start[kind[live]] + p - 1, u)
         left = lattice.begin[arc] - own_start[kind[live]]
         begins.append(starts[live] + left)

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import _BYTE, LOWER_TABLE, mix64, runs, slices, span_hashes
+from .textbytes import LOWER_TABLE, mix64, runs, slices, span_hashes
 
 BITS = 18
 #: Bound on the labelled rows that a fit uses: the first by MD5 of their key.
@@ -49,13 +49,13 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     in the ending), and the shares.
     """
     spans, kind = runs(data, offsets)
-    values = _BYTE[LOWER_TABLE[data]]
-    hashes = span_hashes(values, spans.starts, spans.ends)
+    lower = LOWER_TABLE[data]
+    hashes = span_hashes(lower, spans.starts, spans.ends)
     ids = [(hashes >> np.uint64(64 - bits)).astype(np.int64)]
     row = [spans.row]
     for size in PREFIXES:
         long = np.flatnonzero((kind == 1) & (spans.ends - spans.starts > size))
-        prefix = mix64(span_hashes(values, spans.starts[long], spans.starts[long] + size) ^ np.uint64(size))
+        prefix = mix64(span_hashes(lower, spans.starts[long], spans.starts[long] + size, 1) ^ np.uint64(size))
         ids.append((prefix >> np.uint64(64 - bits)).astype(np.int64))
         row.append(spans.row[long])
     for i, level in enumerate(_statistics(data, offsets, spans, kind, hashes)):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import LOWER_TABLE, Spans, mix64, runs, slices, window_hashes, words
+from .textbytes import LOWER_TABLE, mix64, runs, slices, span_ids, window_hashes, window_starts, words
 
 BUCKET_BITS = 16
 #: A document passes at this mean log ratio (nats per n-gram) or above.
@@ -25,6 +25,14 @@ def _sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
 
 
+def _triples(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for each three ids in a row; equal numbers mean equal ids."""
+    if ids.max() < 1 << 21:
+        return (ids[at] << 42) | (ids[at + 1] << 21) | ids[at + 2]
+    pairs = np.unique((ids[at] << 31) | ids[at + 1], return_inverse=True)[1]
+    return (pairs << 31) | ids[at + 2]
+
+
 def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """By row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     spans = words(data, offsets)
@@ -45,18 +53,17 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     seen = np.searchsorted(spans.starts, ends) > np.searchsorted(spans.starts, starts)
     starts, ends = starts[seen], ends[seen]
     line_row = np.searchsorted(offsets, starts, "right") - 1
-    lines = Spans(data, offsets, starts, ends)
     dup = np.zeros(rows, dtype=np.int64)
     if len(starts):
-        key = lines.hashes()
+        key = span_ids(data, starts, ends)[0]
         order = np.lexsort((key, line_row))
         same = (key[order][1:] == key[order][:-1]) & (line_row[order][1:] == line_row[order][:-1])
         dup = np.bincount(line_row[order][1:][same], minlength=rows)
     # Words in windows of three words that the row holds more than once.
     repeat = np.zeros(rows, dtype=np.int64)
-    at, h = window_hashes(spans.hashes(), spans, 3)
+    at = window_starts(spans, 3)
     if len(at):
-        row = spans.row[at]
+        row, h = spans.row[at], _triples(span_ids(data, spans.starts, spans.ends)[0], at)
         order = np.lexsort((h, row))
         same = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
         twice = np.zeros(len(at), dtype=bool)

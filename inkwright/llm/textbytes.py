@@ -6,6 +6,7 @@ Everything works on the UTF-8 buffer of a slice of rows at a time, so memory is
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,46 +23,85 @@ LOWER_TABLE = np.frombuffer(LOWER, dtype=np.uint8)
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of SplitMix64: a bijection that spreads every input bit."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown by doubling."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1024, 1 << max(0, n - 1).bit_length())
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[base] = have
-    return have[:n]
-
-
-def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sums, inverse powers) from which a span's hash is ``mix64((sums[end] - sums[start]) * inverse[start] + length)``."""
-    n = len(values)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * powers(_BASE, n), out=sums[1:])
-    return sums, powers(_INVERSE, n + 1)
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Polynomial hash modulo 2**64 of values[start:end] for every span, by prefix sums."""
-    n = len(values)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * powers(base, n), out=sums[1:])
-    inverse = _INVERSE if base == _BASE else pow(base, -1, 1 << 64)
-    return mix64((sums[ends] - sums[starts]) * powers(inverse, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
+
+
+#: Spans over so many bytes are hashed by BLAKE2b, one at a time; all others together, eight bytes a step.
+LONG = 256
+LOW = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+
+
+def _seeds(lengths: np.ndarray, lane: int) -> np.ndarray:
+    return mix64(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03 * (lane + 1) & (1 << 64) - 1))
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zero bytes after the end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:-8] = data
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hash of data[start:end] for every span; ``lane`` names one of several independent hashes.
+
+    The length and each eight bytes go through a bijection, one after another, so spans of up to eight
+    bytes of one length never collide, and no pattern of bytes cancels out.
+    """
+    length = ends - starts
+    heads = eights(data)
+    h = mix64(_seeds(length, lane) ^ (heads[starts] & LOW[np.minimum(length, 8)]))
+    live, at = np.flatnonzero((length > 8) & (length <= LONG)), 8
+    while len(live):
+        rest = length[live] - at
+        h[live] = mix64(h[live] ^ (heads[starts[live] + at] & LOW[np.minimum(rest, 8)]))
+        live, at = live[rest > 8], at + 8
+    for i in np.flatnonzero(length > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=bytes([lane])).digest(), "little")
+    return h
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + length] and data[b : b + length] hold the same bytes, for every pair of places."""
+    heads = eights(data)
+    low = LOW[np.minimum(length, 8)]
+    same = (heads[a] & low) == (heads[b] & low)
+    live, at = np.flatnonzero(same & (a != b) & (length > 8) & (length <= LONG)), 8
+    while len(live):
+        rest = length[live] - at
+        low = LOW[np.minimum(rest, 8)]
+        here = (heads[a[live] + at] & low) == (heads[b[live] + at] & low)
+        same[live] = here
+        live, at = live[here & (rest > 8)], at + 8
+    for i in np.flatnonzero(same & (a != b) & (length > LONG)).tolist():
+        same[i] = np.array_equal(data[a[i] : a[i] + length[i]], data[b[i] : b[i] + length[i]])
+    return same
+
+
+def span_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each span, one span of each number): equal numbers mean equal bytes, confirmed byte by byte."""
+    h = span_hashes(data, starts, ends)
+    _, example, ids = np.unique(h, return_index=True, return_inverse=True)
+    length, of = ends - starts, example[ids]
+    if not ((length == length[of]).all() and equal_spans(data, starts, starts[of], length).all()):
+        known: dict[bytes, int] = {}
+        ids = np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.int64)
+        example = np.unique(ids, return_index=True)[1]
+    return ids, example
+
+
+def chain_hashes(values: np.ndarray, starts: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
+    """Hash of ``size`` values from each start on; order and number of the values count."""
+    h = np.repeat(_seeds(np.array([size]), lane + 16), len(starts))
+    for k in range(size):
+        h = mix64(h ^ values[starts + k])
+    return h
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +138,9 @@ class Spans:
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(len(offsets) - 1), self.counts)
 
-    def hashes(self, values: np.ndarray | None = None) -> np.ndarray:
-        return span_hashes(_BYTE[self.data if values is None else values], self.starts, self.ends)
+    def hashes(self, data: np.ndarray | None = None, lane: int = 0) -> np.ndarray:
+        """Hash of each span's bytes, or of those of ``data`` at its place."""
+        return span_hashes(self.data if data is None else data, self.starts, self.ends, lane)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> Spans:
@@ -135,10 +176,15 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[Spans, np.ndarray]:
     return Spans(data, offsets, starts, ends), kind[starts]
 
 
-def window_hashes(hashes: np.ndarray, spans: Spans, size: int, base: int = 0xC2B2AE3D27D4EB4F) -> tuple[np.ndarray, np.ndarray]:
-    """(first span, hash) of each window of ``size`` consecutive spans that lies within one row."""
-    n = len(hashes)
+def window_starts(spans: Spans, size: int) -> np.ndarray:
+    """The first span of each window of ``size`` consecutive spans that lies within one row."""
+    n = len(spans.starts)
     if n < size:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    starts = np.flatnonzero(spans.row[: n - size + 1] == spans.row[size - 1 :])
-    return starts, span_hashes(hashes, starts, starts + size, base)
+        return np.zeros(0, dtype=np.int64)
+    return np.flatnonzero(spans.row[: n - size + 1] == spans.row[size - 1 :])
+
+
+def window_hashes(hashes: np.ndarray, spans: Spans, size: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(first span, hash) of each window."""
+    at = window_starts(spans, size)
+    return at, chain_hashes(hashes, at, size, lane)
