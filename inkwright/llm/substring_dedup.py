@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import cut, shuffle_partitions, small_or_shuffled
-from .textbytes import slices, window_hashes, words
+from .textbytes import chain_hashes, slices, window_starts, words
 
 #: Perfect difference sets, by period. Each difference modulo the period occurs.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 WINDOW = 20
 FLUSH = 1 << 20
+#: Bytes of text whose entries make a group: a group's entries take about as much.
+GROUP_BYTES = 16 << 20
 #: Keys with more than one text: up to so many are broadcast.
 FEW = 1 << 17
 _MISSING = np.iinfo(np.int64).min
@@ -84,7 +86,7 @@ def _interval_rows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, length:
     """A row for each of the groups that documents are dealt to: its documents' merged intervals."""
     doc, tag, start, length = _runs(doc, tag, start, length)
     mixed = (doc.astype(np.uint64) ^ tag.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    target = (mixed >> np.uint64(40)).astype(np.int64) % groups
+    target = (mixed >> np.uint64(24)).astype(np.int64) % groups
     order, first, end = _by(target)
     doc, tag, start, length = doc[order].astype("<i8"), tag[order].astype("<i8"), start[order].astype("<i4"), length[order].astype("<i4")
     a = [doc[x:y].tobytes() + tag[x:y].tobytes() for x, y in zip(first, end, strict=True)]
@@ -104,7 +106,8 @@ def _rows(g: np.ndarray, a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
 
 def _entry_rows(h: np.ndarray, h2: np.ndarray, doc: np.ndarray, place: np.ndarray, tag: np.ndarray, groups: int) -> pa.RecordBatch:
     """Rows (group, -, hashes, documents with tags and places) of entries."""
-    g = ((h >> np.uint64(48)) % np.uint64(groups)).astype(np.int64)
+    # Dealt by bits that the entry itself keeps but for 16: over 2**32 groups are in reach.
+    g = ((h >> np.uint64(24)) % np.uint64(groups)).astype(np.int64)
     order, first, last = _by(g)
     g, h, h2, doc, place, tag = g[order], h[order], h2[order], doc[order], place[order], tag[order]
     a, b = [], []
@@ -195,9 +198,12 @@ def _find(entries: DataFrame, groups: int, length: int, back: int, first_repeats
         doc, tag, start, length = _runs(*_read_intervals(table))
         first = np.flatnonzero(_changes(doc, tag))
         blobs = [np.concatenate([start[x:y], length[x:y]]).astype("<i4").tobytes() for x, y in zip(first, [*first[1:], len(doc)], strict=True)]
-        return pa.table({"_d": doc[first], "_t": tag[first], "_spans": pa.array(blobs, pa.binary())})
+        return pa.table({"d2": doc[first], "t2": tag[first], "spans": pa.array(blobs, pa.binary())})
 
-    return entries.groupBy("g").applyInArrow(group, GROUP_SCHEMA).groupBy("g").applyInArrow(gather, "_d long, _t long, _spans binary")
+    # Enough partitions for the groups, whatever the session's number is.
+    parts = max(shuffle_partitions(entries.sparkSession), groups // 4)
+    found = entries.repartition(parts, "g").groupBy("g").applyInArrow(group, GROUP_SCHEMA)
+    return found.repartition(parts, "g").groupBy("g").applyInArrow(gather, "d2 long, t2 long, spans binary")
 
 
 def _marked(spans: bytes | None, n: int) -> np.ndarray:
@@ -219,21 +225,22 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     integer ``key``, or in the same document at an earlier place. Windows are judged on the input.
     ``kept_text`` holds the other words, joined by one space.
 
-    Null texts have no words; a null key comes before all others; texts under ``window`` words lose
-    nothing. Rows with the same key are one document: where such rows hold the same text, they keep
-    the same words; where their texts differ, each counts its own places. Columns named like the three
-    results are replaced. Windows are told apart by 96 bits of hash over 64-bit word hashes, different
-    texts of one key by 64 bits.
+    Null and empty texts have no words; a null key comes before all others; texts under ``window`` words
+    lose nothing; an empty table gives no rows. Rows with the same key are one document: where such rows
+    hold the same text, they keep the same words; where their texts differ, each counts its own places.
+    Columns named like the three results are replaced, all others may have any name. Windows are told
+    apart by 96 bits over two independent hashes of each word, different texts of one key by 64 bits.
+
+    The number of groups that entries are dealt to follows from the counted bytes of all texts.
     """
     spark = docs.sparkSession
     period = period_for(window)
     cover = np.zeros(period, dtype=bool)
     cover[list(COVERS.get(period, (0,)))] = True
     anchor = window - period + 1
-    groups = shuffle_partitions(spark)
-    kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "_doc", "_spans", "_rest")]
-    rest = [c for c in kept if c not in (key, text)]
-    doc = F.coalesce(F.col(key).cast("long"), F.lit(_MISSING)).alias("_doc")
+    results = ("n_words", "n_removed", "kept_text")
+    kept = [c for c in docs.columns if c not in results]
+    rest = [c for c in kept if c != text]
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Combiner(groups, period, period - 1, True)
@@ -241,32 +248,33 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b, data, offsets in slices(batch.column(2)):
                 spans = words(data, offsets)
-                at, h = window_hashes(spans.hashes(), spans, anchor)
-                place = at - spans.first[spans.row[at]]
-                some = cover[place % period] & (spans.counts[spans.row[at]] >= window)
-                at, h, place = at[some], h[some], place[some]
-                yield from out.add(h, h & np.uint64(0), ids[a:b][spans.row[at]], place, tags[a:b][spans.row[at]])
+                at = window_starts(spans, anchor)
+                row = spans.row[at]
+                place = at - spans.first[row]
+                some = cover[place % period] & (spans.counts[row] >= window)
+                at, row, place = at[some], row[some], place[some]
+                h = chain_hashes(spans.hashes(), at, anchor)
+                yield from out.add(h, h & np.uint64(0), ids[a:b][row], place, tags[a:b][row])
         yield from out.flush()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Combiner(groups, window, 0, False)
         for batch in batches:
-            ids, tags = batch.column("_doc").to_numpy(), batch.column("_tag").to_numpy()
-            marks = batch.column("_spans")
-            for a, b, data, offsets in slices(batch.column(text)):
+            ids, tags, marks = batch.column("d").to_numpy(), batch.column("t").to_numpy(), batch.column("spans")
+            for a, b, data, offsets in slices(batch.column("x")):
                 spans = words(data, offsets)
-                hashes = spans.hashes()
-                at, h = window_hashes(hashes, spans, window)
-                _, h2 = window_hashes(hashes, spans, window, 0x9FB21C651E98DF25)
+                at = window_starts(spans, window)
                 marked = np.concatenate([np.zeros(0, dtype=bool), *(_marked(marks[a + r].as_py(), n) for r, n in enumerate(spans.counts))])
-                some = marked[at]
-                at, h, h2 = at[some], h[some], h2[some]
-                yield from out.add(h, h2, ids[a:b][spans.row[at]], at - spans.first[spans.row[at]], tags[a:b][spans.row[at]])
+                at = at[marked[at]]
+                row = spans.row[at]
+                # Two hashes of each word, each chained over the window: 96 bits of them tell windows apart.
+                h, h2 = (chain_hashes(spans.hashes(lane=lane), at, window, lane) for lane in (0, 1))
+                yield from out.add(h, h2, ids[a:b][row], at - spans.first[row], tags[a:b][row])
         yield from out.flush()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans_of, texts = batch.column("_spans"), batch.column(text)
+            spans_of, texts = batch.column("spans"), batch.column("x")
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, min(512, batch.num_rows - a))
                 n_words, n_removed, left = [], [], []
@@ -279,22 +287,24 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
                         tokens = [w for w, r in zip(tokens, removed.tolist(), strict=True) if not r]
                     n_removed.append(n_words[-1] - len(tokens))
                     left.append(b" ".join(tokens).decode())
-                inner = part.column("_rest")
-                columns = [{key: part.column(key), text: part.column(text)}.get(c) if c in (key, text) else inner.field(rest.index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.string())], names=[*kept, "n_words", "n_removed", "kept_text"])
-
-    # Keys with more than one text, seldom any: only their texts get a tag.
-    by_key = docs.select(doc, F.xxhash64(text).alias("_tag")).groupBy("_doc").agg(F.min("_tag").alias("_least"), F.max("_tag").alias("_most"))
-    several = small_or_shuffled(cut(by_key.filter("_least <> _most").select(F.col("_doc").alias("_d"))), FEW)
-    whole = docs.select(doc, F.xxhash64(text).alias("_tag"), F.col(key), F.col(text), F.struct(F.lit(0).alias("_zero"), *rest).alias("_rest") if not rest else F.struct(*rest).alias("_rest"))
-    whole = whole.join(several, F.col("_doc") == F.col("_d"), "left").withColumn("_tag", F.when(F.col("_d").isNull(), 0).otherwise(F.col("_tag"))).drop("_d")
-    found = whole.select("_doc", "_tag", text).mapInArrow(anchors, GROUP_SCHEMA)
-    near = _find(found, groups, period, period - 1, True)
+                inner = part.column("r")
+                columns = [part.column("x") if c == text else inner.field(rest.index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.string())], names=[*kept, *results])
+
+    # Own names for all columns, the others' by number within a struct: theirs may be any.
+    tag = F.xxhash64(F.col(f"`{text}`"))
+    whole = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_MISSING)).alias("d"), tag.alias("t"), F.col(f"`{text}`").alias("x"), F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(rest)]).alias("r"))
+    # Keys with more than one text, seldom any: only their texts keep a tag.
+    by_key = cut(whole.groupBy("d").agg(F.min("t").alias("least"), F.max("t").alias("most"), F.sum(F.octet_length("x")).alias("size")))
+    groups = max(1, -(-int(by_key.agg(F.sum("size")).first()[0] or 0) // GROUP_BYTES))
+    several = small_or_shuffled(by_key.filter("least <> most").select(F.col("d").alias("s")), FEW)
+    whole = whole.join(several, F.col("d") == F.col("s"), "left").withColumn("t", F.when(F.col("s").isNull(), 0).otherwise(F.col("t"))).drop("s")
+    near = _find(whole.select("d", "t", "x").mapInArrow(anchors, GROUP_SCHEMA), groups, period, period - 1, True)
     # The same exchange of the texts serves both joins.
-    whole = whole.repartition(shuffle_partitions(spark), "_doc", "_tag")
-    same = (F.col("_doc") == F.col("_d")) & (F.col("_tag") == F.col("_t"))
-    around = whole.join(near.hint("shuffle_hash"), same).drop("_d", "_t")
+    whole = whole.repartition(shuffle_partitions(spark), "d", "t")
+    same = (F.col("d") == F.col("d2")) & (F.col("t") == F.col("t2"))
+    around = whole.join(near.hint("shuffle_hash"), same).select("d", "t", "x", "r", "spans")
     again = _find(around.mapInArrow(windows, GROUP_SCHEMA), groups, window, 0, False)
-    joined = whole.join(again.hint("shuffle_hash"), same, "left").drop("_d", "_t")
-    schema = docs.select(*kept).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    joined = whole.join(again.hint("shuffle_hash"), same, "left").select("x", "r", "spans")
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     return joined.mapInArrow(keep, schema)
