@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .cluster import cut
 
 
+#: Nodes with at least this share of the edges are broadcast with their least neighbour: by their share, that many at most.
+HOT = 1000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes in ``edges`` (a, b: long); the component is its least node.
 
@@ -15,15 +19,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     with the logarithm of the graph, edges never get more, and each round is written to the shared
     folder. Minima are combined before each shuffle. A graph that hasn't settled raises an error.
     """
+    def with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+        """``rows`` with the least neighbour m of their u; the few nodes with a large share of all edges meet it without a shuffle."""
+        hot = F.broadcast(least.filter(F.col("n") * HOT > total).select(F.col("u").alias("h"), F.col("m").alias("hm")))
+        rows = rows.join(hot, F.col("u") == F.col("h"), "left")
+        cold = rows.filter("h is null").drop("h", "hm").join(least.select(F.col("u").alias("w"), "m"), F.col("u") == F.col("w")).drop("w")
+        return rows.filter("h is not null").select("u", "v", F.col("hm").alias("m")).union(cold.select("u", "v", "m"))
+
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        total = 2 * now.count()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # Large star: what is greater than a node goes to the least in its neighbourhood.
-        large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = with_least(both.filter("v > u"), least, total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # Small star: what is smaller, and the node itself, goes to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        small = large.join(least, F.col("u") == F.col("w")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, least, total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         after = cut(small)
         # Settled: every node has one edge, to a node that has none.
         same = after.join(now, ["u", "v"], "left_anti").limit(1).count() == 0 and now.join(after, ["u", "v"], "left_anti").limit(1).count() == 0
