@@ -21,19 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut, shuffle_partitions
+from .cluster import cut, fresh_path, shuffle_partitions
 from .textbytes import LOWER
 
 DEPTH = 5
-#: The cells' table is sent to the workers up to this many (a checked count: 16 bytes each); beyond it
-#: documents' n-grams are joined to the cells by shuffle.
-BROADCAST_CELLS = 1 << 23
-#: Words with at least this share of the training tokens are looked up in a broadcast table: as shares
-#: sum to 1, there are at most 2**20 of them. All other words are joined.
-HEAVY = 1 << 20
+#: Bytes of stored (compressed) texts that make a block: a block's texts are counted and scored together.
+BLOCK_BYTES = 8 << 20
+#: n-grams whose tree nodes are worked out together, on average.
+GROUP_GRAMS = 1 << 20
 FLUSH = 1 << 21
 MEMO_WORDS = 1 << 20
 END = b"\n"
@@ -82,39 +81,73 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def gram_counts(docs: DataFrame, *, depth: int, key: str, text: str) -> DataFrame:
-    """(gram, n): n counts training documents only, so an n-gram of a held-out text alone is there with 0."""
+def blocks_of(docs: DataFrame, *, key: str, text: str, block_bytes: int) -> DataFrame:
+    """(id, x, block): the texts, written once, and the block of each.
+
+    A block is a part of a written file, by hash of the row: the files are data, so every later pass
+    finds the same blocks, whatever machine reads them, and no key or group of copies is in one block.
+    """
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "lm-texts")
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("x"))
+    rows.write.parquet(path)
+    parts = F.ceil(F.col("_metadata.file_size") / F.lit(block_bytes))
+    return spark.read.schema(rows.schema).parquet(path).select("id", "x", F.xxhash64(F.col("_metadata.file_name"), F.pmod(F.xxhash64("id", "x"), parts)).alias("block"))
+
+
+def block_counts(texts: DataFrame, *, depth: int) -> DataFrame:
+    """(block, gram, word, n): every n-gram and every word of each block, with its number in training texts.
+
+    What stands in held-out texts alone is there with 0, so a block's rows name all that its texts ask
+    for. A row has a gram or a word; the end of a text is the word of a single line end.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        found: dict[int, Counter[bytes]] = {}
+        size = 0
 
-        def out() -> pa.RecordBatch:
-            keys, n = _merge(held)
+        def out() -> Iterator[pa.RecordBatch]:
+            for block, parts in held.items():
+                keys, n = _merge(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.binary()), pa.array(n)], names=names)
+            for block, words in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.nulls(len(words), pa.int64()), pa.array(list(words.keys()), pa.binary()), pa.array(list(words.values()), pa.int64())], names=names)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["gram", "n"])
+            found.clear()
 
-        size = 0
+        names = ["block", "gram", "word", "n"]
         for batch in batches:
-            train = [not held_out(k) for k in batch.column(0).to_pylist()]
-            texts = batch.column(1)
+            train = np.array([not held_out(k) for k in batch.column(0).to_pylist()], dtype=bool)
+            texts, blocks = batch.column(1), batch.column(2).to_numpy()
             for a in range(0, len(train), 256):
-                rows = range(a, min(a + 256, len(train)))
-                for kind in (True, False):
-                    some = [stream(texts[i].as_py()) for i in rows if train[i] == kind]
-                    if some:
+                part = np.arange(a, min(a + 256, len(train)))
+                for block in np.unique(blocks[part]).tolist():
+                    words = found.setdefault(block, Counter())
+                    for kind in (True, False):
+                        some = [stream(texts[i].as_py()) for i in part[(blocks[part] == block) & (train[part] == kind)].tolist()]
+                        if not some:
+                            continue
                         keys, n = _unique(grams(some, depth)[0])
-                        held.append((keys, n if kind else np.zeros_like(n)))
+                        held.setdefault(block, []).append((keys, n if kind else np.zeros_like(n)))
                         size += len(keys)
+                        if kind:
+                            for s in some:
+                                words.update(s.split())
+                            words[END] += len(some)
+                        else:
+                            for s in some:
+                                words.update(dict.fromkeys(s.split(), 0))
+                            words[END] += 0
                 if size > FLUSH:
-                    held[:] = [_merge(held)]
-                    size = len(held[0][0])
-                    if size > FLUSH:
-                        yield out()
+                    for block, parts in held.items():
+                        held[block] = [_merge(parts)]
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    if size > FLUSH or sum(map(len, found.values())) > MEMO_WORDS:
+                        yield from out()
                         size = 0
-        if held:
-            yield out()
+        yield from out()
 
-    return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "block long, gram long, word binary, n long")
 
 
 # --- the tree ---------------------------------------------------------------------------------
@@ -143,42 +176,29 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Level:
-    """Nodes of one depth: key = context << 8 | decision; parent is the index at the depth above."""
+class Nodes:
+    """Nodes of one depth: key = context << 8 | decision, with the counts of its two ways."""
 
     keys: np.ndarray
     zeros: np.ndarray
     ones: np.ndarray
-    log_kt: np.ndarray
-    log_beta: np.ndarray
-    log_p: np.ndarray
-    parent: np.ndarray | None = None
 
+    @property
+    def kt(self) -> np.ndarray:
+        """Estimated probability of a 0."""
+        return (self.zeros + 0.5) / (self.zeros + self.ones + 1.0)
 
-def _up(level: Level, shift: np.uint64) -> Level:
-    """The depth above: contexts without their farthest byte."""
-    context, decision = level.keys >> np.uint64(8), level.keys & np.uint64(255)
-    keys, level.parent = np.unique(((context >> shift) << np.uint64(8)) | decision, return_inverse=True)
-    total = lambda x: np.bincount(level.parent, weights=x, minlength=len(keys))
-    return _node(keys, total(level.zeros), total(level.ones), total(level.log_p))
+    @property
+    def seen(self) -> np.ndarray:
+        return self.zeros + self.ones > 0
 
 
-def _node(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray | None) -> Level:
-    kt = log_kt(zeros, ones)
-    if children is None:
-        return Level(keys, zeros, ones, kt, np.full(len(kt), np.inf), kt)
-    return Level(keys, zeros, ones, kt, kt - children, math.log(0.5) + np.logaddexp(kt, children))
+def parent_keys(keys: np.ndarray) -> np.ndarray:
+    """The same decision in the context without its farthest byte."""
+    return ((keys >> np.uint64(16)) << np.uint64(8)) | (keys & np.uint64(255))
 
 
-def _climb(p: np.ndarray, seen: np.ndarray, level: Level, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of a 0 one depth up, for nodes whose ancestors are level[at]; seen: any counts below."""
-    n = level.zeros[at] + level.ones[at]
-    kt = (level.zeros[at] + 0.5) / (n + 1.0)
-    beta = np.exp(np.clip(level.log_beta[at], -700, 700))
-    return np.where(seen, (beta * kt + p) / (beta + 1.0), kt), n > 0
-
-
-def leaf_level(gram: np.ndarray, n: np.ndarray) -> tuple[Level, list[np.ndarray], np.ndarray]:
+def leaves(gram: np.ndarray, n: np.ndarray) -> tuple[Nodes, list[np.ndarray], np.ndarray]:
     """Nodes of the full depth from n-grams; for each of eight decisions the node of each n-gram; the bits."""
     byte, context = gram & np.uint64(255), gram >> np.uint64(8)
     keys, bits = [], []
@@ -190,73 +210,110 @@ def leaf_level(gram: np.ndarray, n: np.ndarray) -> tuple[Level, list[np.ndarray]
     one, weight = np.concatenate(bits).astype(bool), np.tile(n, 8).astype(np.float64)
     zeros = np.bincount(inverse, weights=np.where(one, 0.0, weight), minlength=len(every))
     ones = np.bincount(inverse, weights=np.where(one, weight, 0.0), minlength=len(every))
-    return _node(every, zeros, ones, None), np.split(inverse, 8), np.array(bits, dtype=bool)
+    return Nodes(every, zeros, ones), np.split(inverse, 8), np.array(bits, dtype=bool)
+
+
+def leaf_sums(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, zeros, ones, sum of the children's ln P) of the nodes one depth above the leaves; all n-grams of such a context must be here."""
+    leaf, _, _ = leaves(gram, n)
+    keys, inverse = np.unique(parent_keys(leaf.keys), return_inverse=True)
+    total = lambda x: np.bincount(inverse, weights=x, minlength=len(keys))
+    return keys, total(leaf.zeros), total(leaf.ones), total(log_kt(leaf.zeros, leaf.ones))
+
 
+def weights(zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ln P, share of the own estimate, share of the deeper ones) of nodes with children: shares are beta / (beta + 1) and 1 / (beta + 1)."""
+    own = log_kt(zeros, ones)
+    beta = np.exp(np.clip(own - children, -700, 700))
+    return math.log(0.5) + np.logaddexp(own, children), beta / (beta + 1.0), 1.0 / (beta + 1.0)
 
-def _levels(gram: np.ndarray, n: np.ndarray, depth: int, down_to: int) -> tuple[list[Level], list[np.ndarray], np.ndarray]:
-    """Levels from ``depth`` to ``down_to``; all n-grams with a context of ``down_to`` bytes must be here."""
-    leaf, nodes, bits = leaf_level(gram, n)
-    levels = [leaf]
-    for _ in range(depth - down_to):
-        levels.append(_up(levels[-1], np.uint64(8)))
-    return levels, nodes, bits
 
+def through(nodes: Nodes, own: np.ndarray, deeper: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, c) of nodes from those of their parents.
 
-def top_levels(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log_p: np.ndarray) -> tuple[Level, Level]:
-    """Depths 1 and 0 from sums over the nodes of depth 2 (keys: one byte of context and the decision)."""
+    What a path makes of the probability p that it brings up to a node is linear: ``a + b p``; ``c`` is
+    what it makes of a path that has seen nothing below the node.
+    """
+    return a + b * own * nodes.kt, b * deeper, np.where(nodes.seen, a + b * nodes.kt, c)
+
+
+def cell_scores(gram: np.ndarray, n: np.ndarray, keys: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """log10 probability of the last byte of each n-gram, from (a, b, c) of all nodes one depth above the leaves."""
+    leaf, nodes, bits = leaves(gram, n)
     order = np.argsort(keys)
-    one = _node(keys[order], zeros[order], ones[order], log_p[order])
-    return one, _up(one, np.uint64(8))
-
-
-def cell_scores(gram: np.ndarray, n: np.ndarray, depth: int, one: Level, root: Level) -> np.ndarray:
-    """log10 probability of the last byte of each n-gram."""
-    levels, nodes, bits = _levels(gram, n, depth, 2)
-    leaf = levels[0]
-    at = np.arange(len(leaf.keys))
-    seen = leaf.zeros + leaf.ones > 0
-    p = (leaf.zeros + 0.5) / (leaf.zeros + leaf.ones + 1.0)
-    for below, level in zip(levels, levels[1:], strict=False):
-        at = below.parent[at]
-        p, seen = _climb(p, seen, level, at)
-    key1 = ((leaf.keys >> np.uint64(8 * depth)) << np.uint64(8)) | (leaf.keys & np.uint64(255))
-    at = np.searchsorted(one.keys, key1)
-    p, seen = _climb(p, seen, one, at)
-    p, seen = _climb(p, seen, root, one.parent[at])
-    p = np.where(seen, p, 0.5)
-    p = np.clip(p, 1e-300, 1.0)
+    at = order[np.searchsorted(keys[order], parent_keys(leaf.keys))]
+    p = np.clip(np.where(leaf.seen, a[at] + b[at] * leaf.kt, c[at]), 1e-300, 1.0)
     out = np.zeros(len(gram))
     for node, bit in zip(nodes, bits, strict=True):
         out += np.log10(np.where(bit, np.maximum(1.0 - p[node], 1e-300), p[node]))
     return out
 
 
-def cells(counts: DataFrame, *, depth: int) -> DataFrame:
-    """(gram, log10p). Contexts are dealt by their nearest two bytes, so a subtree is in one task; depths 1 and 0 are 65,535 nodes at most."""
+def _top(one: pa.Table) -> pa.Table:
+    """(key, a, b, c) at depth 1, from the sums there: at most 256 contexts of 255 decisions."""
+    keys, zeros, ones, children = (one.column(x).to_numpy() for x in ("key", "zeros", "ones", "p"))
+    keys = keys.astype(np.uint64)
+    log_p, own, deeper = weights(zeros, ones, children)
+    decisions, parent = np.unique(keys & np.uint64(255), return_inverse=True)
+    total = lambda x: np.bincount(parent, weights=x, minlength=len(decisions))
+    root = Nodes(decisions, total(zeros), total(ones))
+    _, root_own, root_deeper = weights(root.zeros, root.ones, total(log_p))
+    # Above the root p stays as it is; where nothing at all was seen it is 1/2.
+    n = len(decisions)
+    abc = through(root, root_own, root_deeper, np.zeros(n), np.ones(n), np.full(n, 0.5))
+    a, b, c = through(Nodes(keys, zeros, ones), own, deeper, *(x[parent] for x in abc))
+    return pa.table({"k": keys.astype(np.int64), "a": a, "b": b, "c": c})
+
+
+def cells(counts: DataFrame, *, depth: int, group_grams: int = GROUP_GRAMS) -> DataFrame:
+    """(gram, log10p) of every n-gram in (gram, n).
+
+    Only the two deepest levels are worked out in groups of n-grams: a group holds whole contexts of
+    ``depth - 1`` bytes, at most 65,536 n-grams each. Every level above is a table of nodes, summed up
+    from the level below with a combine in each task; on the way down each level meets its parents by
+    key. Depths 1 and 0 have 65,535 nodes at most.
+    """
     if depth < 2 or depth > 7:
         raise ValueError("depth: 2 to 7 bytes")
     spark = counts.sparkSession
-    n = shuffle_partitions(spark)
-    dealt = cut(counts.withColumn("_g", F.pmod(F.xxhash64(F.shiftrightunsigned("gram", 8 * (depth - 1))), F.lit(4 * n)).cast("int")))
-
-    def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    counts = cut(counts)
+    groups = max(shuffle_partitions(spark), -(-counts.count() // group_grams))
+    deal = lambda context: F.pmod(F.xxhash64(context), F.lit(groups)).cast("int").alias("g")
 
     def sums(table: pa.Table) -> pa.Table:
-        level = _levels(*arrays(table), depth, 2)[0][-1]
-        key = ((level.keys >> np.uint64(16)) << np.uint64(8)) | (level.keys & np.uint64(255))
-        keys, inverse = np.unique(key, return_inverse=True)
-        total = lambda x: np.bincount(inverse, weights=x, minlength=len(keys))
-        return pa.table({"node": keys.astype(np.int64), "a": total(level.zeros), "b": total(level.ones), "p": total(level.log_p)})
+        keys, *values = leaf_sums(*_grams(table))
+        return pa.table(dict(zip(("key", "zeros", "ones", "p"), (keys.view(np.int64), *values), strict=True)))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, zeros, ones, children = (batch.column(c).to_numpy() for c in ("key", "zeros", "ones", "p"))
+            log_p, own, deeper = weights(zeros, ones, children)
+            nodes = Nodes(keys, zeros, ones)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parent_keys(keys.view(np.uint64)).view(np.int64)), *map(pa.array, (zeros, ones, log_p, own, deeper, nodes.kt, nodes.seen))], names=[c.split()[0] for c in level_schema.split(", ")])
+
+    level_schema = "key long, parent long, zeros double, ones double, log_p double, own double, deeper double, kt double, seen boolean"
+    node_schema = "key long, zeros double, ones double, p double"
+    grouped = counts.select(deal(F.shiftrightunsigned("gram", 16)), "gram", "n").groupBy("g")
+    level, levels = grouped.applyInArrow(sums, node_schema), []
+    for _ in range(depth - 1, 1, -1):
+        levels.append(cut(level.mapInArrow(weigh, level_schema)))
+        level = levels[-1].groupBy(F.col("parent").alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_p").alias("p"))
+    above = F.broadcast(spark.createDataFrame(_top(level.select("key", "zeros", "ones", "p").toArrow()), "k long, a double, b double, c double"))
+    for level in reversed(levels):
+        met = level.join(above, F.col("parent") == F.col("k"))
+        start = F.when(F.col("seen"), F.col("a") + F.col("b") * F.col("kt")).otherwise(F.col("c"))
+        above = met.select(F.col("key").alias("k"), (F.col("a") + F.col("b") * F.col("own") * F.col("kt")).alias("a"), (F.col("b") * F.col("deeper")).alias("b"), start.alias("c"))
+
+    def score(table: pa.Table, nodes: pa.Table) -> pa.Table:
+        abc = (nodes.column(c).to_numpy() for c in "abc")
+        return pa.table({"gram": table.column("gram"), "log10p": cell_scores(*_grams(table), nodes.column("k").to_numpy().view(np.uint64), *abc)})
 
-    top = dealt.groupBy("_g").applyInArrow(sums, "node long, a double, b double, p double").groupBy("node").agg(*[F.sum(c).alias(c) for c in "abp"]).orderBy("node").toArrow()
-    sent = spark.sparkContext.broadcast(top_levels(top.column("node").to_numpy().astype(np.uint64), *(top.column(c).to_numpy() for c in "abp")))
+    dealt = above.select(deal(F.shiftrightunsigned("k", 8)), "k", "a", "b", "c").groupBy("g")
+    return grouped.cogroup(dealt).applyInArrow(score, "gram long, log10p double")
 
-    def score(table: pa.Table) -> pa.Table:
-        gram, n = arrays(table)
-        return pa.table({"gram": table.column("gram"), "log10p": cell_scores(gram, n, depth, *sent.value)})
 
-    return dealt.groupBy("_g").applyInArrow(score, "gram long, log10p double")
+def _grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
 
 
 class CellTable:
@@ -276,151 +333,85 @@ class CellTable:
             rest = np.ones(len(left), dtype=bool)
             rest[np.flatnonzero(open_)[first]] = False
             left, slot = left[rest], (slot[rest] + 1) & self.mask
+        self.used = used
 
     def _slot(self, gram: np.ndarray) -> np.ndarray:
         return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def __getitem__(self, gram: np.ndarray) -> np.ndarray:
-        """Scores; every n-gram must be in the table."""
+        """Scores; an n-gram that isn't in the table is an error."""
         slot = self._slot(gram)
         out = self.scores[slot]
-        wrong = np.flatnonzero(self.keys[slot] != gram)
+        wrong = np.flatnonzero((self.keys[slot] != gram) | ~self.used[slot])
         while len(wrong):
+            if not self.used[slot[wrong]].all():
+                raise KeyError("an n-gram without a score")
             slot[wrong] = (slot[wrong] + 1) & self.mask
             out[wrong] = self.scores[slot[wrong]]
-            wrong = wrong[self.keys[slot[wrong]] != gram[wrong]]
+            wrong = wrong[(self.keys[slot[wrong]] != gram[wrong]) | ~self.used[slot[wrong]]]
         return out
 
 
-# --- words ------------------------------------------------------------------------------------
-
-
-def word_counts(docs: DataFrame, *, key: str, text: str) -> DataFrame:
-    """(word, c) of the training documents; the end of a text is the word of a single line end."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
-            found.clear()
-            return batch
-
-        for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not held_out(k):
-                    found.update((t.as_py() or "").encode().translate(LOWER).split())
-                    found[END] += 1
-            if len(found) > MEMO_WORDS:
-                yield out()
-        if found:
-            yield out()
-
-    return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 # --- scores -----------------------------------------------------------------------------------
 
 
-def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", depth: int = DEPTH, broadcast_cells: int = BROADCAST_CELLS, heavy: int = HEAVY) -> DataFrame:
+def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, group_grams: int = GROUP_GRAMS) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_stream_bytes, bits_per_byte`` for every row.
 
     Counts come from all documents that aren't held out. ``base_score`` is the smoothed unigram sum,
     ``score`` the log10 probability that the tree gives to the text's token stream, ``bits_per_byte``
     its code length over the stream's bytes. Null and empty texts hold the end alone. Without any
     training document N and V are 0 and every decision has probability 1/2. Rows with equal ids are
-    scored each; other columns are not read.
+    scored each, a null id counts as an empty text; an empty table gives no rows. Other columns are not
+    read and may have any name.
+
+    Texts are dealt to blocks. A block names each of its n-grams and words once, with its counts; the
+    sums over all blocks make the tree and the vocabulary, and a block gets back what it named. So no
+    table that grows with the corpus is sent to the driver or to every worker, and memory is bounded by
+    a block (its texts, or one very long text) and the n-grams in it.
     """
     spark = docs.sparkSession
-    vocabulary = cut(word_counts(docs, key=key, text=text))
-    total = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    texts = blocks_of(docs, key=key, text=text, block_bytes=block_bytes)
+    asked_path = fresh_path(spark, "lm-asked")
+    block_counts(texts, depth=depth).write.parquet(asked_path)
+    asked = spark.read.schema("block long, gram long, word binary, n long").parquet(asked_path)
+    asked_grams, asked_words = asked.filter("word is null").select("block", "gram", "n"), asked.filter("word is not null").select("block", "word", "n")
+    vocabulary = cut(asked_words.groupBy("word").agg(F.sum("n").alias("c")))
+    total = vocabulary.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_train, n_types = int(total["n"] or 0), int(total["v"])
-    top = {bytes(r["word"]): r["c"] for r in vocabulary.filter(F.col("c") * heavy >= n_train).toLocalIterator()}
-    table = cut(cells(gram_counts(docs, depth=depth, key=key, text=text), depth=depth))
-    small = table.limit(broadcast_cells + 1).count() <= broadcast_cells
-    sent_cells = None
-    if small:
-        arrow = table.toArrow()
-        sent_cells = spark.sparkContext.broadcast((arrow.column("gram").to_numpy().view(np.uint64), arrow.column("log10p").to_numpy()))
+    table = cells(asked_grams.groupBy("gram").agg(F.sum("n").alias("n")), depth=depth, group_grams=group_grams)
+    answers = asked_grams.select("block", "gram").join(table, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("log10p").alias("value"))
+    answers = answers.union(asked_words.select("block", "word").join(vocabulary, "word").select("block", F.lit(None).cast("long"), "word", F.col("c").cast("double")))
     denominator = math.log10(n_train + 0.1 * (n_types + 1))
-    sent_top = spark.sparkContext.broadcast({w: math.log10(c + 0.1) - denominator for w, c in top.items()})
-    unknown = math.log10(0.1) - denominator
-    id_type = docs.schema[key].dataType.simpleString()
-    summary = ["_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_stream_bytes"]
-    schema = f"word binary, _base long, _at array<int>, _id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_stream_bytes long, _grams array<struct<gram:bigint,n:bigint>>"
-    gram_type = pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())]))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text, and one for each word that must be looked up, with the texts of the task that hold it."""
-        from pyspark import TaskContext
-
-        known, lookup, base = sent_top.value, CellTable(*sent_cells.value) if sent_cells else None, TaskContext.get().partitionId() << 32
-        row, asked, n_asked, kinds = 0, {}, 0, None
-
-        def questions() -> pa.RecordBatch:
-            n = len(asked)
-            none = [pa.nulls(n, t) for t in kinds]
-            batch = pa.RecordBatch.from_arrays([pa.array(list(asked.keys()), pa.binary()), pa.array([base] * n, pa.int64()), pa.array(list(asked.values()), pa.list_(pa.int32())), *none], names=names)
-            asked.clear()
-            return batch
-
-        names = ["word", "_base", "_at", *summary, "_grams"]
-        for batch in batches:
-            kinds = [batch.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), gram_type]
-            keys = batch.column(0).to_pylist()
-            for a in range(0, len(keys), 128):
-                part = keys[a : a + 128]
-                streams = [stream(batch.column(1)[i].as_py()) for i in range(a, a + len(part))]
-                found, counts = grams(streams, depth)
-                ends = np.cumsum(counts)
-                scores, per_text = [0.0] * len(part), [None] * len(part)
-                if lookup:
-                    sums = np.concatenate([[0.0], np.cumsum(lookup[found])])
-                    scores = sums[ends] - sums[ends - counts]
-                else:
-                    each = [_unique(found[e - c : e]) for e, c in zip(ends, counts, strict=True)]
-                    per_text = [[{"gram": g, "n": n} for g, n in zip(u.view(np.int64).tolist(), m.tolist(), strict=True)] for u, m in each]
-                n_tokens, n_known, sure = [], [], []
-                for i, s in enumerate(streams, row):
-                    tokens = s.split()
-                    tokens.append(END)
-                    values = [known.get(w) for w in tokens]
-                    rare = [w for w, v in zip(tokens, values, strict=True) if v is None]
-                    for w in rare:
-                        asked.setdefault(w, []).append(i)
-                    n_asked += len(rare)
-                    n_tokens.append(len(tokens))
-                    n_known.append(len(tokens) - len(rare))
-                    sure.append(math.fsum(v for v in values if v is not None))
-                # A key of its own that no word has spreads the texts' rows over the join.
-                own = [END + (base + i).to_bytes(8, "big") for i in range(row, row + len(part))]
-                columns = [pa.array(own, pa.binary()), pa.array([base] * len(part), pa.int64()), pa.array([[i] for i in range(row, row + len(part))], pa.list_(pa.int32()))]
-                columns += [batch.column(0).slice(a, len(part)), *(pa.array(c, t) for c, t in zip(([held_out(k) for k in part], n_tokens, n_known, sure, scores, [len(s) for s in streams], per_text), kinds[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                row += len(part)
-                if n_asked > MEMO_WORDS:
-                    yield questions()
-                    n_asked = 0
-        if asked:
-            yield questions()
-
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(read, schema)
-    if small:
-        rows = rows.drop("_grams")
-    else:
-        # Beyond the bound: the n-grams of each text meet their scores in a shuffle.
-        rows = cut(rows)
-        met = rows.filter("_grams is not null").select("word", F.explode("_grams").alias("g")).join(table.hint("merge"), F.col("g.gram") == table["gram"])
-        scored = met.groupBy(F.col("word").alias("_w")).agg(F.sum(F.col("g.n") * F.col("log10p")).alias("_score"))
-        rows = rows.drop("_grams").join(scored, F.col("word") == F.col("_w"), "left").withColumn("score", F.coalesce("_score", "score")).drop("_w", "_score")
-    # Rare words meet the vocabulary once a task; by their share none is hot.
-    light = vocabulary.filter(F.col("c") * heavy < n_train)
-    met = rows.join(light, "word", "left")
-    asks = F.col("n_tokens").isNull()
-    value = F.when(asks, F.when(F.col("c").isNull(), F.lit(unknown)).otherwise(F.log10(F.col("c") + F.lit(0.1)) - F.lit(denominator))).otherwise(0.0)
-    each = met.select("_base", F.explode("_at").alias("_i"), *summary, value.alias("_more"), F.when(asks & F.col("c").isNotNull(), 1).otherwise(0).alias("_found"))
-    done = each.groupBy("_base", "_i").agg(*[F.max(c).alias(c) for c in summary], F.sum("_more").alias("_more"), F.sum("_found").alias("_found"))
-    return done.select(
-        F.col("_id").alias(key), "held_out", "n_tokens", (F.col("n_known") + F.col("_found")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.col("_more")).alias("base_score"), "score", "n_stream_bytes", (-F.col("score") / F.lit(math.log10(2)) / F.col("n_stream_bytes")).alias("bits_per_byte"),
-    )
+    names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_stream_bytes", "bits_per_byte"]
+    schema = docs.select(F.col(f"`{key}`")).schema
+    for name, kind in zip(names[1:], ("boolean", "long", "long", "long", "double", "double", "long", "double"), strict=True):
+        schema = schema.add(name, kind)
+
+    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
+        word = found.column("word")
+        is_gram = pc.is_null(word)
+        some = found.filter(is_gram)
+        lookup = CellTable(some.column("gram").to_numpy().view(np.uint64), some.column("value").to_numpy())
+        some = found.filter(pc.invert(is_gram))
+        counts = dict(zip(some.column("word").to_pylist(), some.column("value").to_pylist(), strict=True))
+        logs = {w: math.log10(c + 0.1) - denominator for w, c in counts.items()}
+        ids, x = rows.column("id"), rows.column("x")
+        out: list[list] = [[] for _ in names[1:]]
+        for a in range(0, len(ids), 128):
+            b = min(a + 128, len(ids))
+            streams = [stream(x[i].as_py()) for i in range(a, b)]
+            grams_, sizes = grams(streams, depth)
+            ends = np.cumsum(sizes)
+            sums = np.concatenate([[0.0], np.cumsum(lookup[grams_])])
+            scores = (sums[ends] - sums[ends - sizes]).tolist()
+            for k, s, score in zip(ids.slice(a, b - a).to_pylist(), streams, scores, strict=True):
+                tokens = s.split()
+                tokens.append(END)
+                row = (held_out(k), len(tokens), sum(map(bool, map(counts.__getitem__, tokens))), n_train, math.fsum(map(logs.__getitem__, tokens)), score, len(s), -score / math.log10(2) / len(s))
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+        return pa.table([ids, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names)
+
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
