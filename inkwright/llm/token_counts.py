@@ -10,8 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cluster import cut
+
 #: Pieces that a worker keeps in mind, twice: those of late, and those of the time before that.
 MEMO = 250_000
+#: Digests with at least this share of the rows are broadcast: as shares sum to 1, so many at most.
+HOT = 2000
 CACHE_SCHEMA = "version string, digest string, n_tokens long"
 
 
@@ -114,36 +118,40 @@ def stored_counts(spark: SparkSession, cache: str) -> DataFrame:
 def token_counts(docs: DataFrame, *, tokenizer: str, cache: str, key: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
     """``key, n_bytes, n_tokens, over_limit`` for every row.
 
-    ``cache`` is a folder of (version, digest, n_tokens); this call appends what it lacked. Misses
-    are dealt out by digest, so each distinct text is encoded once however many copies there are.
+    ``cache`` is a folder of (version, digest, n_tokens); this call appends what it lacked. Copies of a
+    text are combined within each task before any text moves, so each distinct text that the cache
+    doesn't know is sent and encoded once. Counts go back to the rows by digest; the few digests with a
+    large share of all rows are broadcast with their counts, so no task gets all copies of a text.
     ``tokenizer`` is a file that all machines have at the same path. Null and empty texts have 0
-    bytes and tokens; rows keep their number and other columns are not read.
+    bytes and tokens; rows keep their number, repeated ones too, keys may be null; an empty table gives
+    no rows. Other columns are not read and may have any name.
     """
     spark = docs.sparkSession
     by_word = cuts_by_word(read_rules(tokenizer))
     # Older caches hold counts by folded digests: where white space matters, those are another version's.
     version = tokenizer_version(tokenizer) + ("" if by_word else "-whole")
     known = stored_counts(spark, cache).filter(F.col("version") == version).select("digest", "n_tokens")
-    content = docs.select(_digest(text, by_word).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    misses = content.join(known, "digest", "left_anti").repartition("digest")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    distinct = docs.select(_digest(text, by_word).alias("digest"), whole.alias("_text")).groupBy("digest").agg(F.first("_text").alias("_text"))
+    misses = distinct.join(known, "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen = piece_counter(tokenizer), set()
+        counter = piece_counter(tokenizer)
         for batch in batches:
-            digests = batch.column(0).to_pylist()
-            new = []
-            for i, d in enumerate(digests):
-                raw = bytes.fromhex(d)[:16]
-                if raw not in seen:
-                    seen.add(raw)
-                    new.append(i)
-            for a in range(0, len(new), 512):
-                part = batch.take(pa.array(new[a : a + 512]))
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
                 n = counter.count(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
     found = misses.mapInArrow(encode, "digest string, n_tokens long")
     found.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     stored = stored_counts(spark, cache).filter(F.col("version") == version).select("digest", "n_tokens")
-    rows = docs.select(F.col(key), _digest(text, by_word).alias("digest"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.join(stored, "digest", "left").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = cut(docs.select(F.col(key).alias("key"), _digest(text, by_word).alias("digest"), F.octet_length(whole).cast("long").alias("n_bytes")))
+    total = rows.count()
+    # At most HOT digests can have that share of the rows.
+    hot = rows.groupBy("digest").count().filter(F.col("count") * HOT > total).select(F.col("digest").alias("h"))
+    hot = stored.join(F.broadcast(hot), F.col("digest") == F.col("h")).select("h", F.col("n_tokens").alias("hot_tokens"))
+    rows = rows.join(F.broadcast(hot), F.col("digest") == F.col("h"), "left")
+    often = rows.filter("h is not null").select("key", "n_bytes", F.col("hot_tokens").alias("n_tokens"))
+    seldom = rows.filter("h is null").select("key", "n_bytes", "digest").join(stored, "digest", "left").select("key", "n_bytes", "n_tokens")
+    return often.union(seldom).select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
