@@ -6,7 +6,9 @@ the validator of its format checks structure and lengths and says how long the o
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,6 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Carved bytes that are handed on together.
+CARVED_BYTES = 8 << 20
+
+
 class Found(NamedTuple):
     """A confirmed object: media type, first byte, length, and where its samples lie (from its first byte)."""
 
@@ -28,7 +34,7 @@ class Found(NamedTuple):
     payload: tuple[int, int]
 
 
-def _wav(b: bytes, at: int) -> Found | None:
+def _wav(b: bytes, at: int, _: Marks) -> Found | None:
     if b[at + 8 : at + 12] != b"WAVE" or len(b) < at + 12:
         return None
     length = 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -46,12 +52,12 @@ def _wav(b: bytes, at: int) -> Found | None:
     return Found("audio/wav", at, length, payload) if form and payload else None
 
 
-def _png(b: bytes, at: int) -> Found | None:
+def _png(b: bytes, at: int, _: Marks) -> Found | None:
     p, first, payload = at + 8, True, (0, 0)
     while p + 12 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, p)
         end = p + 12 + size
-        if end > len(b) or zlib.crc32(b[p + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0] or first != (kind == b"IHDR"):
+        if end > len(b) or first != (kind == b"IHDR" and size == 13) or zlib.crc32(b[p + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
             return None
         if kind == b"IDAT" and not payload[1]:
             payload = (p + 8 - at, size)
@@ -61,7 +67,7 @@ def _png(b: bytes, at: int) -> Found | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> Found | None:
+def _gif(b: bytes, at: int, _: Marks) -> Found | None:
     if len(b) < at + 13:
         return None
     p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
@@ -82,7 +88,7 @@ def _gif(b: bytes, at: int) -> Found | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> Found | None:
+def _jpeg(b: bytes, at: int, _: Marks) -> Found | None:
     p, frame = at + 2, False
     while p + 4 <= len(b) and b[p] == 0xFF:
         kind, size = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
@@ -100,15 +106,37 @@ def _jpeg(b: bytes, at: int) -> Found | None:
     return None
 
 
-def _pdf(b: bytes, at: int) -> Found | None:
-    end = b.find(b"%%EOF", at)
-    if end < 0 or not b[at + 5 : at + 6].isdigit() or b.rfind(b"startxref", at, end) < 0:
+class Marks:
+    """Where a content holds its end marks: each kind is searched once, however many magic bytes ask."""
+
+    def __init__(self, content: bytes):
+        self.content = content
+        self.known: dict[bytes, list[int]] = {}
+
+    def places(self, mark: bytes) -> list[int]:
+        if mark not in self.known:
+            self.known[mark] = [m.start() for m in re.finditer(re.escape(mark), self.content)]
+        return self.known[mark]
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` at or after ``at``, or -1."""
+        places = self.places(mark)
+        i = bisect.bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+
+def _pdf(b: bytes, at: int, marks: Marks) -> Found | None:
+    end = marks.after(b"%%EOF", at)
+    if end < 0 or not b[at + 5 : at + 6].isdigit():
+        return None
+    start = marks.after(b"startxref", at)
+    if start < 0 or start + 9 > end:
         return None
     return Found("application/pdf", at, end + 5 - at, (0, end + 5 - at))
 
 
-def _zip(b: bytes, at: int) -> Found | None:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, marks: Marks) -> Found | None:
+    end = marks.after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
@@ -118,7 +146,7 @@ def _zip(b: bytes, at: int) -> Found | None:
 
 
 #: The magic bytes of each format.
-SIGNATURES: dict[bytes, Callable[[bytes, int], Found | None]] = {
+SIGNATURES: dict[bytes, Callable[[bytes, int, Marks], Found | None]] = {
     b"RIFF": _wav,
     b"\x89PNG\r\n\x1a\n": _png,
     b"GIF87a": _gif,
@@ -139,9 +167,9 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(content: bytes, search: ahocorasick.Automaton) -> list[Found]:
     """All confirmed objects, outermost first; what lies within a confirmed object is found as well."""
-    out = []
+    out, marks = [], Marks(content)
     for end, magic in search.iter(content.decode("latin-1")):
-        if found := SIGNATURES[magic](content, end + 1 - len(magic)):
+        if found := SIGNATURES[magic](content, end + 1 - len(magic), marks):
             out.append(found)
     return sorted(out, key=lambda x: (x.offset, -x.length))
 
@@ -163,8 +191,9 @@ def sniff_media(rows: DataFrame, *, content: str, declared: str) -> DataFrame:
     ``media`` is an array of (media_type, offset, length, payload_offset, payload_length, content).
     The type is that of a confirmed object at byte 0, else a declared type that no signature speaks
     against, else ``application/octet-stream``: a declared type with a known signature that the bytes
-    don't bear out is dropped. Null content holds nothing and keeps its declared type. Columns of
-    these three names are replaced.
+    don't bear out is dropped. Null content holds nothing and keeps its declared type, empty content
+    holds nothing; each row, repeated or not, is sniffed by itself; an empty table gives no rows.
+    Columns of these three names are replaced, all others may have any name.
     """
     kept = [c for c in rows.columns if c not in ("media_type", "corrected", "media")]
     known = ("audio/wav", "image/png", "image/gif", "image/jpeg", "application/pdf", "application/zip")
@@ -173,15 +202,21 @@ def sniff_media(rows: DataFrame, *, content: str, declared: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = automaton()
         for batch in batches:
+            contents, declarations, done, size = batch.column(content), batch.column(declared), 0, 0
+            kinds, media = [], []
             for i in range(batch.num_rows):
-                raw, said = batch.column(content)[i].as_py(), batch.column(declared)[i].as_py()
+                raw, said = contents[i].as_py(), declarations[i].as_py()
                 found = sniff(bytes(raw), search) if raw is not None else []
                 kind = found[0].media_type if found and found[0].offset == 0 else said
                 if raw is not None and kind == said and said in known and not (found and found[0].offset == 0):
                     kind = "application/octet-stream"
-                media = [{"media_type": f.media_type, "offset": f.offset, "length": f.length, "payload_offset": f.payload[0], "payload_length": f.payload[1], "content": raw[f.offset : f.offset + f.length]} for f in found]
-                columns = [pa.array([kind], pa.string()), pa.array([kind != said]), pa.array([media], _ARROW_ITEM)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *columns], names=[*kept, "media_type", "corrected", "media"])
+                kinds.append((kind, kind != said))
+                media.append([{"media_type": f.media_type, "offset": f.offset, "length": f.length, "payload_offset": f.payload[0], "payload_length": f.payload[1], "content": raw[f.offset : f.offset + f.length]} for f in found])
+                size += sum(f.length for f in found)
+                if size > CARVED_BYTES or i + 1 == batch.num_rows:
+                    columns = [pa.array([k for k, _ in kinds], pa.string()), pa.array([c for _, c in kinds], pa.bool_()), pa.array(media, _ARROW_ITEM)]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(done, len(kinds)).columns, *columns], names=[*kept, "media_type", "corrected", "media"])
+                    done, size, kinds, media = i + 1, 0, [], []
 
     return rows.select(*kept).mapInArrow(run, schema)
 
@@ -204,7 +239,8 @@ def text_media(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     Returns ``key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
     feature``; the feature names the corrected type, the number of objects found (a text that itself
     holds a valid object shows more than one) and mean, least and greatest sample. Null texts count
-    as empty.
+    as empty; keys may be null; repeated rows are stored and read each; an empty table gives no rows.
+    Other columns are not read. Time grows in proportion to a text's length.
     """
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from .cluster import cut
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Seeded offsets that are tried for each source; the one whose copies come nearest the target is used.
-OFFSETS = 32
 
 
 def word_count(text: str) -> Column:
@@ -50,64 +48,79 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: Sequence[f
     return filled.select(F.col(source), "source_size", target.alias("target"))
 
 
-def copies(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: str = "mix") -> DataFrame:
-    """How often the mix takes each row: ``key, source, size, source_size, target, copies, taken``.
+def _row_digest(key: str, text: str) -> Column:
+    """MD5 of a row's key and text: rows that share it are alike to the mix."""
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))).cast("binary"))
 
-    Within a source every document is expected ``target / source_size`` times. Documents are laid
-    one after another in the order of (bits of the size, its leading five bits, MD5 of the key, key);
-    their expected copies are summed up, one offset is added for the source, and a document is taken
-    once for every whole number that its stretch crosses: floor or ceiling of the expected copies.
-    The order by size makes each stretch of the sum hold like sizes, so the words taken come near the
-    target. The offset is the best of ``OFFSETS`` seeded ones.
 
-    The running count is two-level: counts of small bins are summed over the bins of a source, and
-    rows are numbered within a bin, so no task holds a source. Null keys and texts count as an empty
-    MD5 input and no words; rows that are alike in all of this are interchangeable; a source without
-    words has target 0; an empty table gives no rows. Other columns are not read.
-    """
+def _tag(source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s:"), F.col(source).cast("string")), F.lit("null"))
+
+
+def _laid(docs: DataFrame, *, key: str, source: str, text: str, weights: Sequence[float], share: float, ceiling: float, seed: str) -> DataFrame:
+    """A narrow row for each document: ``key, source, digest, size, source_size, target, rate, offset, upto``; upto is its place in its source, from 1."""
     # Only ids, names and counts are kept: one scan of the texts, all later steps on narrow rows.
     sized = cut(
-        docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(text).alias("_size"))
-        .withColumn("_md5", F.md5(F.coalesce(F.col("_key").cast("string"), F.lit("")).cast("binary")))
-        .withColumn("_bits", F.length(F.bin("_size")))
-        .withColumn("_lead", F.substring(F.bin("_size"), 1, 5))
-        .withColumn("_sub", F.substring("_md5", 1, 2))
+        docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"), _row_digest(key, text).alias("digest"))
+        .withColumn("bits", F.length(F.bin("size")))
+        .withColumn("lead", F.substring(F.bin("size"), 1, 5))
+        .withColumn("sub", F.substring("digest", 1, 2))
     )
-    bins = ["_source", "_bits", "_lead", "_sub"]
-    of_source = Window.partitionBy("_source").orderBy("_bits", "_lead", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.groupBy(*bins).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(of_source), F.lit(0))).drop("_n")
-    targets = source_targets(sized, "_source", "_size", weights, share, ceiling)
-    place = targets.withColumnRenamed("_source", "_s").withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    offsets = F.array(*[_unit(F.lit(seed), F.coalesce(F.concat(F.lit("s:"), "_s"), F.lit("null")), F.lit(str(i))) for i in range(OFFSETS)])
-    place = place.withColumn("_offsets", offsets)
-    starts = starts.join(place, starts["_source"].eqNullSafe(place["_s"])).drop("_s")
-    renamed = starts.select(*[F.col(c).alias(f"b{c}") for c in bins], "_before", "source_size", "target", "_rate", "_offsets")
-    same = sized["_source"].eqNullSafe(renamed["b_source"])
+    bins = ["source", "bits", "lead", "sub"]
+    of_source = Window.partitionBy("source").orderBy("bits", "lead", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sized.groupBy(*bins).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(of_source), F.lit(0))).drop("n")
+    place = (
+        source_targets(sized, "source", "size", weights, share, ceiling)
+        .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+        .withColumn("offset", _unit(F.lit(seed), _tag("source")))
+        .withColumnRenamed("source", "s")
+    )
+    starts = starts.join(place, starts["source"].eqNullSafe(place["s"])).drop("s")
+    renamed = starts.select(*[F.col(c).alias(f"b_{c}") for c in bins], "before", "source_size", "target", "rate", "offset")
+    same = sized["source"].eqNullSafe(renamed["b_source"])
     for c in bins[1:]:
-        same = same & (sized[c] == renamed[f"b{c}"])
-    numbered = sized.withColumn("_row", F.row_number().over(Window.partitionBy(*bins).orderBy("_md5", F.col("_key").asc_nulls_first(), "_size")))
-    laid = numbered.join(renamed, same).withColumn("_upto", F.col("_before") + F.col("_row"))
+        same = same & (sized[c] == renamed[f"b_{c}"])
+    numbered = sized.withColumn("row", F.row_number().over(Window.partitionBy(*bins).orderBy("digest", F.col("key").asc_nulls_first(), "size")))
+    return numbered.join(renamed, same).select("key", "source", "digest", "size", "source_size", "target", "rate", "offset", (F.col("before") + F.col("row")).alias("upto"))
 
-    def crossed(offset: Column) -> Column:
-        end, begin = F.col("_upto") * F.col("_rate") + offset, (F.col("_upto") - 1) * F.col("_rate") + offset
-        return (F.floor(end) - F.floor(begin)).cast("long")
 
-    laid = cut(laid.select("_key", "_source", "_size", "source_size", "target", "_rate", "_offsets", "_upto"))
-    tried = laid.groupBy("_source").agg(
-        F.first("target").alias("_t"), F.first("_offsets").alias("_o"), *[F.sum(F.col("_size") * crossed(F.col("_offsets")[i])).alias(f"_w{i}") for i in range(OFFSETS)]
-    )
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_w{i}") - F.col("_t")).alias("miss"), F.lit(i).alias("i")) for i in range(OFFSETS)]))["i"]
-    chosen = tried.select(F.col("_source").alias("_s"), F.col("_o")[best].alias("_offset"))
-    done = laid.join(chosen, laid["_source"].eqNullSafe(chosen["_s"])).withColumn("copies", crossed(F.col("_offset")))
-    return done.select(F.col("_key").alias("key"), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+def _crossed(upto: Column) -> Column:
+    """Whole numbers that the stretch of the row at this place crosses."""
+    end, begin = upto * F.col("rate") + F.col("offset"), (upto - 1) * F.col("rate") + F.col("offset")
+    return (F.floor(end) - F.floor(begin)).cast("long")
+
+
+def copies(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: str = "mix") -> DataFrame:
+    """How often the mix takes each row: ``key, source, size, source_size, target, copies, taken``.
+
+    Within a source every document is expected ``target / source_size`` times. Documents are laid
+    one after another in the order of (bits of the size, its leading five bits, MD5 of key and text,
+    key); their expected copies are summed up, one seeded offset is added for the source, and a
+    document is taken once for every whole number that its stretch crosses: floor or ceiling of the
+    expected copies. The order by size makes each stretch of the sum hold like sizes, so the words
+    taken come near the target whatever the offset.
+
+    The running count is two-level: counts of small bins are summed over the bins of a source, and
+    rows are numbered within a bin, so no task holds a source, nor the rows of one key. Null keys and
+    texts count as empty in the MD5, and a null text has no words; repeated rows are laid and taken
+    each by itself; a null source is a source, the last one; one without words has target 0; an empty
+    table gives no rows. Other columns are not read and may have any name.
+    """
+    laid = _laid(docs, key=key, source=source, text=text, weights=weights, share=share, ceiling=ceiling, seed=seed)
+    return laid.withColumn("copies", _crossed(F.col("upto"))).select("key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: str = "mix") -> DataFrame:
     """The rows of ``docs``, each as often as ``copies`` says, with unchanged columns.
 
-    ``key`` must tell the rows apart; rows that share one (or null) all get the largest count among them.
+    Rows meet their places by source and MD5 of key and text, not by key: rows that share a key are
+    drawn each by itself, and rows alike in all of these take the places that they hold one after
+    another. Columns may have any name.
     """
-    counts = copies(docs, key=key, **options).groupBy("key").agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed("key", "_k")
-    taken = docs.join(counts, docs[key].eqNullSafe(counts["_k"])).drop("_k")
-    names = [c for c in taken.columns if c != "_copies"]
-    return taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
+    laid = _laid(docs, key=key, source=source, text=text, weights=weights, share=share, ceiling=ceiling, seed=seed)
+    places = laid.groupBy(F.concat("digest", _tag("source")).alias("at")).agg(F.min("upto").alias("first"), F.first("rate").alias("rate"), F.first("offset").alias("offset"))
+    rows = docs.select(F.concat(_row_digest(key, text), _tag(source)).alias("id"), F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("id").orderBy("id")))
+    taken = rows.join(places, F.col("id") == F.col("at")).withColumn("copies", _crossed(F.col("first") + F.col("again") - 1)).filter("copies > 0")
+    each = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return each.select(*[F.col(f"row.f{i}").alias(c) for i, c in enumerate(docs.columns)])

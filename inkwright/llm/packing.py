@@ -125,40 +125,41 @@ def word_ids(path: str, pattern: str) -> WordIds:
     return WordIds(path, pattern)
 
 
-def id_width(tokenizer: str, end_id: int | None) -> int:
-    """Bytes of an id: rank files have a line for each id."""
+def vocabulary_size(tokenizer: str, end_id: int | None) -> int:
+    """One more than the greatest id: rank files have a line for each id."""
     with open(tokenizer, "rb") as f:
         n = sum(1 for _ in f)
-    return 2 if max(n, (end_id or 0) + 1) <= 1 << 16 else 4
+    return max(n, -1 if end_id is None else end_id + 1)
 
 
-def position_width(length: int) -> int:
-    return 2 if length <= 1 << 16 else 4
-
-
-def pack(docs: DataFrame, *, tokenizer: str, pattern: str, length: int = 2048, end_id: int | None = 50256, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, pattern: str, length: int = 2048, end_id: int | None = 50256, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, id_bytes: int = 4, position_bytes: int = 4) -> DataFrame:
     """Rows of a packed matrix from all texts.
 
     ``pack_id`` (unique), ``n_tokens`` used, ``doc_ids`` and ``doc_starts`` (the document of each
     segment and the segment's first place in that document's ids), ``cu_seqlens`` (cumulative segment
-    lengths, from 0), ``resets`` (places where positions start again at 0), and the little-endian
-    rows ``input_ids`` and ``position_ids`` of ``length`` numbers each, 0 after n_tokens; numbers have two
-    bytes where all ids and places are below 2**16 (``id_width``, ``position_width``), else four.
+    lengths, from 0), ``resets`` (places where positions start again at 0), the little-endian rows
+    ``input_ids`` and ``position_ids`` of ``length`` numbers each, 0 after n_tokens, and the bytes of such
+    a number, ``id_bytes`` and ``position_bytes`` (2 or 4, as asked; too few for the vocabulary or the
+    length is an error).
 
     Each text is followed by ``end_id`` (none if None). Documents over ``length`` are split into whole
     rows and a rest, nothing is cut off; the pieces tell document and place, so texts come back exactly.
     Packing is by block of a task's rows: no shuffle, and memory bounded by ``block_tokens`` plus the
     longest document. Blocks leave at most a few open rows each. Null and empty texts hold their
-    ``end_id`` alone, or nothing; repeated rows are packed each.
+    ``end_id`` alone, or nothing; keys may be null; repeated rows are packed each; an empty table gives no
+    rows. Other columns are not read and may have any name.
     """
+    for what, most, width in (("id", vocabulary_size(tokenizer, end_id), id_bytes), ("position", length, position_bytes)):
+        if width not in (2, 4) or most > 1 << 8 * width:
+            raise ValueError(f"pack: {width} bytes for {most} values of {what}")
     id_type = docs.schema[key].dataType
-    schema = f"pack_id long, n_tokens int, doc_ids array<{id_type.simpleString()}>, doc_starts array<int>, cu_seqlens array<int>, resets array<int>, input_ids binary, position_ids binary"
+    schema = f"pack_id long, n_tokens int, doc_ids array<{id_type.simpleString()}>, doc_starts array<int>, cu_seqlens array<int>, resets array<int>, input_ids binary, position_ids binary, id_bytes int, position_bytes int"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        wide, far = f"<u{id_width(tokenizer, end_id)}", f"<u{position_width(length)}"
+        wide, far = f"<u{id_bytes}", f"<u{position_bytes}"
         words, serial = word_ids(tokenizer, pattern), TaskContext.get().partitionId() << 32
         block: list[tuple[object, np.ndarray]] = []
 
@@ -176,12 +177,12 @@ def pack(docs: DataFrame, *, tokenizer: str, pattern: str, length: int = 2048, e
                     position[r, at : at + b - a] = np.arange(b - a)
                     at += b - a
                     ends.append(at)
-                values = (serial + r, at, [block[items[x][0]][0] for x in row], [items[x][1] for x in row], ends, ends[:-1], matrix[r].tobytes(), position[r].tobytes())
+                values = (serial + r, at, [block[items[x][0]][0] for x in row], [items[x][1] for x in row], ends, ends[:-1], matrix[r].tobytes(), position[r].tobytes(), id_bytes, position_bytes)
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
             serial += len(rows)
             block.clear()
-            kinds = [pa.int64(), pa.int32(), pa.list_(arrow_key), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.int32(), pa.list_(arrow_key), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         held, kind = 0, None
@@ -201,7 +202,8 @@ def pack(docs: DataFrame, *, tokenizer: str, pattern: str, length: int = 2048, e
     return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
-def unpack(packs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, start, ids) of every segment, ids of ``width`` bytes: the way back from ``pack``."""
+def unpack(packs: DataFrame) -> DataFrame:
+    """(doc_id, start, ids, id_bytes) of every segment, ids of ``id_bytes`` bytes each: the way back from ``pack``."""
+    width = F.col("id_bytes")
     numbers = F.transform(F.sequence(F.lit(0), F.size("doc_ids") - 1), lambda i: F.struct(F.get("doc_ids", i).alias("doc_id"), F.get("doc_starts", i).alias("start"), F.substring(F.col("input_ids"), F.get("cu_seqlens", i) * width + 1, (F.get("cu_seqlens", i + 1) - F.get("cu_seqlens", i)) * width).alias("ids")))
-    return packs.filter(F.size("doc_ids") > 0).select(F.explode(numbers).alias("s")).select("s.doc_id", "s.start", "s.ids")
+    return packs.filter(F.size("doc_ids") > 0).select(F.explode(numbers).alias("s"), "id_bytes").select("s.doc_id", "s.start", "s.ids", "id_bytes")

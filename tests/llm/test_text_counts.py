@@ -169,3 +169,56 @@ def test_mix_is_the_oracle(spark, sf_dir):
     want = con.sql(q.OP1_SQL).fetchall()
     got = [(r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in q.op1_mix(spark, sf_dir).collect()]
     assert sorted(got) == sorted((a, b, c, round(d, 6), e) for a, b, c, d, e in want)
+
+
+def test_mix_of_repeated_rows_and_clashing_names(spark):
+    """Rows that share a key are drawn each; columns named like anything inside stay."""
+    names = ["copies", "_copies", "_k", "key", "row", "id", "at", "first", "rate", "offset", "upto", "digest", "f0", "size", "again"]
+    rows = [(1, "a b", "x")] * 3 + [(2, "c", "y"), (None, "d e f", "y"), (None, "g", None), (1, "other words here", "x"), (3, None, "zero")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    counts = mixing.copies(docs).collect()
+    assert Counter((r.key, r["size"], r.source) for r in counts) == Counter((k, len(WORD.findall(t or "")), s) for k, t, s in rows)
+    want = Counter()
+    for r in counts:
+        want[(r.key, r["size"], r.source)] += r.copies
+    for n in (1, 5):
+        mixed = mixing.mix(docs.repartition(n))
+        assert mixed.columns == docs.columns
+        got = mixed.collect()
+        assert Counter((r.doc_id, len(WORD.findall(r.text or "")), r.source) for r in got) == +want
+        assert all([r[n] for n in names] == list(range(len(names))) for r in got)
+    target = {r.source: r.target for r in counts}
+    for s in target:
+        mine = [r for r in counts if r.source == s]
+        assert abs(sum(r.taken for r in mine) - target[s]) <= max(r["size"] for r in mine)
+
+
+def complement_words(n=1024):
+    """Two words of n letters that a polynomial modulo 2**64 can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 8192])
+def test_counts_of_words_that_simple_hashes_confuse(n):
+    import pyarrow as pa
+
+    a, b = complement_words(n)
+    texts = [f"{a}\n{b}", f"{a} x y {b} x y", f"{a}\n{a}\n{b}", f"{a} {b} {a} {b} {a}"]
+    for _, _, data, offsets in slices(pa.array(texts)):
+        c = quality_rules.text_counts(data, offsets)
+        assert list(zip(*(c[k].tolist() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), strict=True)) == [brute_counts(t) for t in texts]
+
+
+def test_span_ids_where_hashes_collide(monkeypatch):
+    """Equal hashes of different bytes are told apart by the bytes."""
+    from inkwright.llm import textbytes
+
+    data = np.frombuffer(b"abcabdabc" + b"x" * 300 + b"y" + b"x" * 300, dtype=np.uint8)
+    starts, ends = np.array([0, 3, 6, 9, 310, 9]), np.array([3, 6, 9, 309, 610, 308])
+    for blind in (False, True):
+        if blind:
+            monkeypatch.setattr(textbytes, "span_hashes", lambda data, a, b, lane=0: np.zeros(len(a), dtype=np.uint64))
+        ids, example = textbytes.span_ids(data, starts, ends)
+        assert ids[0] == ids[2] and ids[3] == ids[4] and len(set(ids.tolist())) == 4
+        assert all(data[starts[i] : ends[i]].tobytes() == data[starts[e] : ends[e]].tobytes() for i, e in enumerate(example[ids]))
