@@ -14,6 +14,7 @@ line end, the end of the text. Contexts before a text's first byte are line ends
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,21 +22,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import cut, fresh_path, shuffle_partitions
-from .textbytes import LOWER
+from .textbytes import LOWER, mix64, slices
 
 DEPTH = 5
-#: Bytes of stored (compressed) texts that make a block: a block's texts are counted and scored together.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text that make a block: what a block asks of the whole corpus it asks once.
+BLOCK_BYTES = 32 << 20
+#: Bytes of text whose n-grams and words are summed together, on average.
+GROUP_BYTES = 64 << 20
 #: n-grams whose tree nodes are worked out together, on average.
 GROUP_GRAMS = 1 << 20
-FLUSH = 1 << 21
-MEMO_WORDS = 1 << 20
+#: Bytes of text that are read, counted, stored and scored at a time.
+CHUNK = 1 << 20
 END = b"\n"
+TEXTS, GRAMS, WORDS, TOTALS = range(4)
+ROW = "block long, kind int, g int, a binary, b binary"
 
 
 # --- counts -----------------------------------------------------------------------------------
@@ -81,73 +86,150 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def blocks_of(docs: DataFrame, *, key: str, text: str, block_bytes: int) -> DataFrame:
-    """(id, x, block): the texts, written once, and the block of each.
+# --- blocks -----------------------------------------------------------------------------------
 
-    A block is a part of a written file, by hash of the row: the files are data, so every later pass
-    finds the same blocks, whatever machine reads them, and no key or group of copies is in one block.
-    """
-    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "lm-texts")
-    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("x"))
-    rows.write.parquet(path)
-    parts = F.ceil(F.col("_metadata.file_size") / F.lit(block_bytes))
-    return spark.read.schema(rows.schema).parquet(path).select("id", "x", F.xxhash64(F.col("_metadata.file_name"), F.pmod(F.xxhash64("id", "x"), parts)).alias("block"))
 
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Whole numbers, 0 or more, as compressed differences: small where they are sorted."""
+    steps = np.diff(numbers.astype(np.uint64), prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
-def block_counts(texts: DataFrame, *, depth: int) -> DataFrame:
-    """(block, gram, word, n): every n-gram and every word of each block, with its number in training texts.
 
-    What stands in held-out texts alone is there with 0, so a block's rows name all that its texts ask
-    for. A row has a gram or a word; the end of a text is the word of a single line end.
-    """
+def _unsqueeze(blob: bytes) -> np.ndarray:
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _squeeze_words(found: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(b" " if w == END else w for w in found))
+
+
+def _unsqueeze_words(blob: bytes) -> list[bytes]:
+    return [END if w == b" " else w for w in zstandard.ZstdDecompressor().decompress(blob).split(b"\n")]
+
+
+def _store(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+class Block:
+    """Texts of a task with what they ask: their n-grams and words, each once, with its number in training texts."""
+
+    def __init__(self, depth: int, groups: int):
+        self.depth, self.groups = depth, groups
+        # Any number will do that no other block has: it is written with the block's rows.
+        self.number = int.from_bytes(os.urandom(8), "little", signed=True)
+        self.size, self.texts, self.words = 0, [], Counter()
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, ids: pa.Array, texts: pa.Array) -> None:
+        train = [not held_out(k) for k in ids.to_pylist()]
+        streams = [stream(t) for t in texts.to_pylist()]
+        for kind in (True, False):
+            some = [s for s, t in zip(streams, train, strict=True) if t == kind]
+            if not some:
+                continue
+            keys, n = _unique(grams(some, self.depth)[0])
+            self.parts.append((keys, n if kind else np.zeros_like(n)))
+            for s in some:
+                self.words.update(s.split() if kind else dict.fromkeys(s.split(), 0))
+            self.words[END] += len(some) if kind else 0
+        if len(self.parts) > 32:
+            self.parts = [_merge(self.parts)]
+        self.texts.append(_store(pa.table({"id": ids, "x": texts})))
+        self.size += sum(map(len, streams))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        yield _row_batch([(self.number, TEXTS, 0, t, None) for t in self.texts])
+        keys, n = _merge(self.parts)
+        g = (mix64(keys) % np.uint64(self.groups)).astype(np.int64)
+        order = np.argsort(g, kind="stable")
+        cuts = np.searchsorted(g[order], np.arange(self.groups + 1))
+        spans = [(i, order[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+        yield _row_batch([(self.number, GRAMS, i, _squeeze(keys[at]), _squeeze(n[at])) for i, at in spans])
+        dealt: dict[int, list[bytes]] = {}
+        for w in sorted(self.words):
+            dealt.setdefault(zlib.crc32(w) * self.groups >> 32, []).append(w)
+        yield _row_batch([(self.number, WORDS, i, _squeeze_words(found), _squeeze(np.array([self.words[w] for w in found]))) for i, found in dealt.items()])
+
+
+def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"block": pa.int64(), "kind": pa.int32(), "g": pa.int32(), "a": pa.binary(), "b": pa.binary()}
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+def blocks(docs: DataFrame, *, depth: int, key: str, text: str, block_bytes: int, groups: int) -> DataFrame:
+    """Rows (block, kind, g, a, b), written once: a block's texts, and by group the n-grams and words that it asks for."""
+    path = fresh_path(docs.sparkSession, "lm-blocks")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(depth, groups)
+        for batch in batches:
+            for a, b, _, _ in slices(batch.column(1), CHUNK):
+                block.add(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
+                if block.size >= block_bytes:
+                    yield from block.rows()
+                    block = Block(depth, groups)
+        if block.texts:
+            yield from block.rows()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        found: dict[int, Counter[bytes]] = {}
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for block, parts in held.items():
-                keys, n = _merge(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.binary()), pa.array(n)], names=names)
-            for block, words in found.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.nulls(len(words), pa.int64()), pa.array(list(words.keys()), pa.binary()), pa.array(list(words.values()), pa.int64())], names=names)
-            held.clear()
-            found.clear()
-
-        names = ["block", "gram", "word", "n"]
+    docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("x")).mapInArrow(gather, ROW).write.parquet(path)
+    return docs.sparkSession.read.schema(ROW).parquet(path)
+
+
+def gram_totals(asked: DataFrame) -> DataFrame:
+    """(gram, n) over all blocks."""
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, n = _merge([(_unsqueeze(a), _unsqueeze(b).astype(np.int64)) for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)])
+        return pa.table({"gram": keys.view(np.int64), "n": n})
+
+    return asked.groupBy("g").applyInArrow(add, "gram long, n long")
+
+
+def gram_replies(asked: DataFrame, scores: DataFrame, groups: int) -> DataFrame:
+    """Rows of what blocks asked for, with the scores (doubles) in the same order."""
+
+    def look_up(table: pa.Table, known: pa.Table) -> pa.Table:
+        gram, value = known.column("gram").to_numpy().view(np.uint64), known.column("log10p").to_numpy()
+        order = np.argsort(gram)
+        gram, value = gram[order], value[order]
+        out = []
+        for block, a in zip(table.column("block").to_pylist(), table.column("a").to_pylist(), strict=True):
+            keys = _unsqueeze(a)
+            at = np.minimum(np.searchsorted(gram, keys), len(gram) - 1)
+            if not np.array_equal(gram[at], keys):
+                raise KeyError("an n-gram without a score")
+            out.append((block, GRAMS, 0, a, value[at].tobytes()))
+        return pa.Table.from_batches([_row_batch(out)])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            train = np.array([not held_out(k) for k in batch.column(0).to_pylist()], dtype=bool)
-            texts, blocks = batch.column(1), batch.column(2).to_numpy()
-            for a in range(0, len(train), 256):
-                part = np.arange(a, min(a + 256, len(train)))
-                for block in np.unique(blocks[part]).tolist():
-                    words = found.setdefault(block, Counter())
-                    for kind in (True, False):
-                        some = [stream(texts[i].as_py()) for i in part[(blocks[part] == block) & (train[part] == kind)].tolist()]
-                        if not some:
-                            continue
-                        keys, n = _unique(grams(some, depth)[0])
-                        held.setdefault(block, []).append((keys, n if kind else np.zeros_like(n)))
-                        size += len(keys)
-                        if kind:
-                            for s in some:
-                                words.update(s.split())
-                            words[END] += len(some)
-                        else:
-                            for s in some:
-                                words.update(dict.fromkeys(s.split(), 0))
-                            words[END] += 0
-                if size > FLUSH:
-                    for block, parts in held.items():
-                        held[block] = [_merge(parts)]
-                    size = sum(len(parts[0][0]) for parts in held.values())
-                    if size > FLUSH or sum(map(len, found.values())) > MEMO_WORDS:
-                        yield from out()
-                        size = 0
-        yield from out()
-
-    return texts.mapInArrow(count, "block long, gram long, word binary, n long")
+            g = (mix64(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(g), *batch.columns], names=["g", "gram", "log10p"])
+
+    dealt = scores.mapInArrow(deal, "g int, gram long, log10p double")
+    return asked.groupBy("g").cogroup(dealt.groupBy("g")).applyInArrow(look_up, ROW)
+
+
+def word_replies(asked: DataFrame) -> DataFrame:
+    """Rows of what blocks asked for, with the words' numbers in all training texts; and a row a group with its sum and its number of known words."""
+
+    def add(table: pa.Table) -> pa.Table:
+        found = [(block, a, _unsqueeze_words(a), _unsqueeze(b).astype(np.int64).tolist()) for block, a, b in zip(*(table.column(c).to_pylist() for c in ("block", "a", "b")), strict=True)]
+        total: Counter[bytes] = Counter()
+        for _, _, words, n in found:
+            for w, k in zip(words, n, strict=True):
+                total[w] += k
+        rows = [(block, WORDS, 0, a, _squeeze(np.array([total[w] for w in words]))) for block, a, words, _ in found]
+        both = np.array([sum(total.values()), sum(map(bool, total.values()))], dtype="<i8")
+        return pa.Table.from_batches([_row_batch([*rows, (None, TOTALS, 0, both.tobytes(), None)])])
+
+    return asked.groupBy("g").applyInArrow(add, ROW)
 
 
 # --- the tree ---------------------------------------------------------------------------------
@@ -213,14 +295,6 @@ def leaves(gram: np.ndarray, n: np.ndarray) -> tuple[Nodes, list[np.ndarray], np
     return Nodes(every, zeros, ones), np.split(inverse, 8), np.array(bits, dtype=bool)
 
 
-def leaf_sums(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, zeros, ones, sum of the children's ln P) of the nodes one depth above the leaves; all n-grams of such a context must be here."""
-    leaf, _, _ = leaves(gram, n)
-    keys, inverse = np.unique(parent_keys(leaf.keys), return_inverse=True)
-    total = lambda x: np.bincount(inverse, weights=x, minlength=len(keys))
-    return keys, total(leaf.zeros), total(leaf.ones), total(log_kt(leaf.zeros, leaf.ones))
-
-
 def weights(zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ln P, share of the own estimate, share of the deeper ones) of nodes with children: shares are beta / (beta + 1) and 1 / (beta + 1)."""
     own = log_kt(zeros, ones)
@@ -237,16 +311,41 @@ def through(nodes: Nodes, own: np.ndarray, deeper: np.ndarray, a: np.ndarray, b:
     return a + b * own * nodes.kt, b * deeper, np.where(nodes.seen, a + b * nodes.kt, c)
 
 
-def cell_scores(gram: np.ndarray, n: np.ndarray, keys: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """log10 probability of the last byte of each n-gram, from (a, b, c) of all nodes one depth above the leaves."""
-    leaf, nodes, bits = leaves(gram, n)
-    order = np.argsort(keys)
-    at = order[np.searchsorted(keys[order], parent_keys(leaf.keys))]
-    p = np.clip(np.where(leaf.seen, a[at] + b[at] * leaf.kt, c[at]), 1e-300, 1.0)
-    out = np.zeros(len(gram))
-    for node, bit in zip(nodes, bits, strict=True):
-        out += np.log10(np.where(bit, np.maximum(1.0 - p[node], 1e-300), p[node]))
-    return out
+class Deep:
+    """The levels of a group of n-grams from the leaves up: all n-grams of a context at the upper level must be here."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, levels: int):
+        leaf, self.at, self.bits = leaves(gram, n)
+        self.nodes, self.shares, self.parents = [leaf], [], []
+        #: Sums of the children's ln P, for the nodes above the last level here.
+        log_p = log_kt(leaf.zeros, leaf.ones)
+        for level in range(levels + 1):
+            below = self.nodes[-1]
+            keys, parent = np.unique(parent_keys(below.keys), return_inverse=True)
+            total = lambda x: np.bincount(parent, weights=x, minlength=len(keys))  # noqa: B023, E731
+            node, children = Nodes(keys, total(below.zeros), total(below.ones)), total(log_p)
+            self.parents.append(parent)
+            if level == levels:
+                self.above, self.children = node, children
+            else:
+                log_p, own, deeper = weights(node.zeros, node.ones, children)
+                self.nodes.append(node)
+                self.shares.append((own, deeper))
+
+    def scores(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each n-gram, from (a, b, c) of the nodes above."""
+        order = np.argsort(keys)
+        at = order[np.searchsorted(keys[order], self.above.keys)]
+        abc = a[at], b[at], c[at]
+        for level in range(len(self.nodes) - 1, 0, -1):
+            abc = through(self.nodes[level], *self.shares[level - 1], *(x[self.parents[level]] for x in abc))
+        leaf = self.nodes[0]
+        a, b, c = (x[self.parents[0]] for x in abc)
+        p = np.clip(np.where(leaf.seen, a + b * leaf.kt, c), 1e-300, 1.0)
+        out = np.zeros(len(self.at[0]))
+        for node, bit in zip(self.at, self.bits, strict=True):
+            out += np.log10(np.where(bit, np.maximum(1.0 - p[node], 1e-300), p[node]))
+        return out
 
 
 def _top(one: pa.Table) -> pa.Table:
@@ -268,10 +367,10 @@ def _top(one: pa.Table) -> pa.Table:
 def cells(counts: DataFrame, *, depth: int, group_grams: int = GROUP_GRAMS) -> DataFrame:
     """(gram, log10p) of every n-gram in (gram, n).
 
-    Only the two deepest levels are worked out in groups of n-grams: a group holds whole contexts of
-    ``depth - 1`` bytes, at most 65,536 n-grams each. Every level above is a table of nodes, summed up
-    from the level below with a combine in each task; on the way down each level meets its parents by
-    key. Depths 1 and 0 have 65,535 nodes at most.
+    The deepest levels are worked out in groups of n-grams: a group holds whole contexts of
+    ``depth - 2`` bytes (one at least), at most 2**24 n-grams each. Every level above is a table of
+    nodes, summed up from the level below with a combine in each task; on the way down each level meets
+    its parents by key. Depths 1 and 0 have 65,535 nodes at most.
     """
     if depth < 2 or depth > 7:
         raise ValueError("depth: 2 to 7 bytes")
@@ -279,10 +378,11 @@ def cells(counts: DataFrame, *, depth: int, group_grams: int = GROUP_GRAMS) -> D
     counts = cut(counts)
     groups = max(shuffle_partitions(spark), -(-counts.count() // group_grams))
     deal = lambda context: F.pmod(F.xxhash64(context), F.lit(groups)).cast("int").alias("g")
+    local = 1 if depth > 2 else 0  # levels between the leaves and the first table
 
     def sums(table: pa.Table) -> pa.Table:
-        keys, *values = leaf_sums(*_grams(table))
-        return pa.table(dict(zip(("key", "zeros", "ones", "p"), (keys.view(np.int64), *values), strict=True)))
+        deep = Deep(*_gram_columns(table), local)
+        return pa.table({"key": deep.above.keys.view(np.int64), "zeros": deep.above.zeros, "ones": deep.above.ones, "p": deep.children})
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,9 +393,9 @@ def cells(counts: DataFrame, *, depth: int, group_grams: int = GROUP_GRAMS) -> D
 
     level_schema = "key long, parent long, zeros double, ones double, log_p double, own double, deeper double, kt double, seen boolean"
     node_schema = "key long, zeros double, ones double, p double"
-    grouped = counts.select(deal(F.shiftrightunsigned("gram", 16)), "gram", "n").groupBy("g")
+    grouped = counts.select(deal(F.shiftrightunsigned("gram", 16 + 8 * local)), "gram", "n").groupBy("g")
     level, levels = grouped.applyInArrow(sums, node_schema), []
-    for _ in range(depth - 1, 1, -1):
+    for _ in range(depth - 1 - local, 1, -1):
         levels.append(cut(level.mapInArrow(weigh, level_schema)))
         level = levels[-1].groupBy(F.col("parent").alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_p").alias("p"))
     above = F.broadcast(spark.createDataFrame(_top(level.select("key", "zeros", "ones", "p").toArrow()), "k long, a double, b double, c double"))
@@ -306,13 +406,14 @@ def cells(counts: DataFrame, *, depth: int, group_grams: int = GROUP_GRAMS) -> D
 
     def score(table: pa.Table, nodes: pa.Table) -> pa.Table:
         abc = (nodes.column(c).to_numpy() for c in "abc")
-        return pa.table({"gram": table.column("gram"), "log10p": cell_scores(*_grams(table), nodes.column("k").to_numpy().view(np.uint64), *abc)})
+        scores = Deep(*_gram_columns(table), local).scores(nodes.column("k").to_numpy().view(np.uint64), *abc)
+        return pa.table({"gram": table.column("gram"), "log10p": scores})
 
     dealt = above.select(deal(F.shiftrightunsigned("k", 8)), "k", "a", "b", "c").groupBy("g")
     return grouped.cogroup(dealt).applyInArrow(score, "gram long, log10p double")
 
 
-def _grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _gram_columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
 
 
@@ -355,7 +456,7 @@ class CellTable:
 # --- scores -----------------------------------------------------------------------------------
 
 
-def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, group_grams: int = GROUP_GRAMS) -> DataFrame:
+def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES, group_grams: int = GROUP_GRAMS) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_stream_bytes, bits_per_byte`` for every row.
 
     Counts come from all documents that aren't held out. ``base_score`` is the smoothed unigram sum,
@@ -365,53 +466,54 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     scored each, a null id counts as an empty text; an empty table gives no rows. Other columns are not
     read and may have any name.
 
-    Texts are dealt to blocks. A block names each of its n-grams and words once, with its counts; the
-    sums over all blocks make the tree and the vocabulary, and a block gets back what it named. So no
-    table that grows with the corpus is sent to the driver or to every worker, and memory is bounded by
-    a block (its texts, or one very long text) and the n-grams in it.
+    Each task gathers its texts into blocks. A block names each of its n-grams and words once, with its
+    counts; the sums over all blocks make the tree and the vocabulary, and a block gets back what it
+    named. So no table that grows with the corpus is sent to the driver or to every worker, no key and
+    no group of copies makes a block, and memory is bounded by a block (or one very long text).
     """
     spark = docs.sparkSession
-    texts = blocks_of(docs, key=key, text=text, block_bytes=block_bytes)
-    asked_path = fresh_path(spark, "lm-asked")
-    block_counts(texts, depth=depth).write.parquet(asked_path)
-    asked = spark.read.schema("block long, gram long, word binary, n long").parquet(asked_path)
-    asked_grams, asked_words = asked.filter("word is null").select("block", "gram", "n"), asked.filter("word is not null").select("block", "word", "n")
-    vocabulary = cut(asked_words.groupBy("word").agg(F.sum("n").alias("c")))
-    total = vocabulary.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n_train, n_types = int(total["n"] or 0), int(total["v"])
-    table = cells(asked_grams.groupBy("gram").agg(F.sum("n").alias("n")), depth=depth, group_grams=group_grams)
-    answers = asked_grams.select("block", "gram").join(table, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("log10p").alias("value"))
-    answers = answers.union(asked_words.select("block", "word").join(vocabulary, "word").select("block", F.lit(None).cast("long"), "word", F.col("c").cast("double")))
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    groups = max(shuffle_partitions(spark), -(-int(size) // group_bytes))
+    rows = blocks(docs, depth=depth, key=key, text=text, block_bytes=block_bytes, groups=groups)
+    asked = rows.filter(F.col("kind") == GRAMS)
+    words = cut(word_replies(rows.filter(F.col("kind") == WORDS)))
+    n_train = n_types = 0
+    for r in words.filter(F.col("kind") == TOTALS).select("a").toLocalIterator():  # a row a group
+        n, v = np.frombuffer(r["a"], dtype="<i8").tolist()
+        n_train, n_types = n_train + n, n_types + v
+    replies = gram_replies(asked, cells(gram_totals(asked), depth=depth, group_grams=group_grams), groups)
+    every = rows.filter(F.col("kind") == TEXTS).union(words.filter(F.col("kind") == WORDS)).union(replies)
     denominator = math.log10(n_train + 0.1 * (n_types + 1))
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_stream_bytes", "bits_per_byte"]
     schema = docs.select(F.col(f"`{key}`")).schema
     for name, kind in zip(names[1:], ("boolean", "long", "long", "long", "double", "double", "long", "double"), strict=True):
         schema = schema.add(name, kind)
 
-    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
-        word = found.column("word")
-        is_gram = pc.is_null(word)
-        some = found.filter(is_gram)
-        lookup = CellTable(some.column("gram").to_numpy().view(np.uint64), some.column("value").to_numpy())
-        some = found.filter(pc.invert(is_gram))
-        counts = dict(zip(some.column("word").to_pylist(), some.column("value").to_pylist(), strict=True))
+    def score(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        blob = lambda column, k: [table.column(column)[i].as_py() for i in np.flatnonzero(kind == k).tolist()]
+        lookup = CellTable(np.concatenate([_unsqueeze(x) for x in blob("a", GRAMS)]), np.concatenate([np.frombuffer(x) for x in blob("b", GRAMS)]))
+        counts: dict[bytes, int] = {}
+        for a, b in zip(blob("a", WORDS), blob("b", WORDS), strict=True):
+            counts.update(zip(_unsqueeze_words(a), _unsqueeze(b).tolist(), strict=True))
         logs = {w: math.log10(c + 0.1) - denominator for w, c in counts.items()}
-        ids, x = rows.column("id"), rows.column("x")
-        out: list[list] = [[] for _ in names[1:]]
-        for a in range(0, len(ids), 128):
-            b = min(a + 128, len(ids))
-            streams = [stream(x[i].as_py()) for i in range(a, b)]
-            grams_, sizes = grams(streams, depth)
+        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+        done = []
+        for stored in blob("a", TEXTS):
+            part = pa.ipc.open_stream(stored).read_all()
+            streams = [stream(t) for t in part.column("x").to_pylist()]
+            found, sizes = grams(streams, depth)
             ends = np.cumsum(sizes)
-            sums = np.concatenate([[0.0], np.cumsum(lookup[grams_])])
+            sums = np.concatenate([[0.0], np.cumsum(lookup[found])])
             scores = (sums[ends] - sums[ends - sizes]).tolist()
-            for k, s, score in zip(ids.slice(a, b - a).to_pylist(), streams, scores, strict=True):
+            out: list[list] = [[] for _ in kinds]
+            for k, s, value in zip(part.column("id").to_pylist(), streams, scores, strict=True):
                 tokens = s.split()
                 tokens.append(END)
-                row = (held_out(k), len(tokens), sum(map(bool, map(counts.__getitem__, tokens))), n_train, math.fsum(map(logs.__getitem__, tokens)), score, len(s), -score / math.log10(2) / len(s))
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
-        return pa.table([ids, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names)
+                row = (held_out(k), len(tokens), sum(map(bool, map(counts.__getitem__, tokens))), n_train, math.fsum(map(logs.__getitem__, tokens)), value, len(s), -value / math.log10(2) / len(s))
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+            done.append(pa.table([part.column("id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names))
+        return pa.concat_tables(done)
 
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    return every.groupBy("block").applyInArrow(score, schema)

@@ -83,7 +83,7 @@ def naive_tree(streams, depth):
     return score
 
 
-@pytest.mark.parametrize(("depth", "block_bytes", "group_grams"), [(5, 1 << 23, 1 << 20), (3, 1500, 100), (2, 1 << 23, 7)])
+@pytest.mark.parametrize(("depth", "block_bytes", "group_grams"), [(5, 1 << 25, 1 << 20), (3, 1500, 100), (2, 1 << 25, 7)])
 def test_scores_are_the_definitions(spark, sf_dir, depth, block_bytes, group_grams):
     """Whole texts, in one block and in many, with the registered depth and others."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy(F.length("text"), "doc_id").limit(60).collect()
@@ -101,7 +101,7 @@ def test_scores_are_the_definitions(spark, sf_dir, depth, block_bytes, group_gra
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in tokens)
         held = zlib.crc32(b"" if k is None else str(k).encode()) % 10 == 0
         want.append((k, held, len(tokens), sum(w in c for w in tokens), n, round(base, 6), round(naive(lm.stream(t)), 6)))
-    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs.repartition(3), depth=depth, block_bytes=block_bytes, group_grams=group_grams).collect()]
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs.repartition(3), depth=depth, block_bytes=block_bytes, group_bytes=8 * block_bytes, group_grams=group_grams).collect()]
     for x, y in zip(sorted(got, key=str), sorted(want, key=str), strict=True):
         assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-8, abs=2e-6)
 
