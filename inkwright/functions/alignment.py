@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import edit_paths
+
 #: Fixed value: an error span with a longer side is left out.
 MAX_SPAN = 4
 OPS = "array<struct<kind:string,source:string,target:string,si:int,ti:int>>"
+SPANS = "array<struct<observed:string,truth:string>>"
 
 
 def within(a: Column, b: Column, limit: int) -> Column:
@@ -44,54 +48,63 @@ def word_error_rate(truth: Column, observed: Column) -> Column:
 
 
 def align_pair(source: str, target: str) -> list[tuple]:
-    """Operations that turn ``source`` into ``target``; on ties diagonal, then insertion (source used up), then deletion."""
-    n, m = len(source), len(target)
-    table = [list(range(m + 1))]
-    for i, s in enumerate(source):
-        above, row = table[-1], [i + 1]
-        for j, t in enumerate(target):
-            row.append(min(above[j] + (s != t), above[j + 1] + 1, row[j] + 1))
-        table.append(row)
-    out, i, j = [], n, m
-    while i or j:
-        cost = table[i][j]
-        if i and j and table[i - 1][j - 1] + (source[i - 1] != target[j - 1]) == cost:
-            i, j = i - 1, j - 1
-            out.append(("match" if source[i] == target[j] else "sub", source[i], target[j], i, j))
-        elif i and table[i - 1][j] + 1 == cost:
-            i -= 1
-            out.append(("ins", source[i], "", i, j))
-        else:
-            j -= 1
-            out.append(("del", "", target[j], i, j))
-    return out[::-1]
+    """Operations (kind, source, target, si, ti) that turn ``source`` into ``target``."""
+    _, kind, si, ti, _, _, _ = edit_paths.paths([source], [target])
+    left = ["" if k == edit_paths.DEL else source[i] for k, i in zip(kind.tolist(), si.tolist(), strict=True)]
+    right = ["" if k == edit_paths.INS else target[j] for k, j in zip(kind.tolist(), ti.tolist(), strict=True)]
+    return list(zip([edit_paths.KINDS[k] for k in kind], left, right, si.tolist(), ti.tolist(), strict=True))
+
+
+def _signs(codes: np.ndarray) -> pa.Array:
+    """Code points as strings of one character; 0 is the empty string."""
+    distinct, inverse = np.unique(codes, return_inverse=True)
+    return pa.DictionaryArray.from_arrays(inverse.astype(np.int32), pa.array([chr(c) if c else "" for c in distinct.tolist()], pa.string())).cast(pa.string())
+
+
+def _spans(sources: list[str], targets: list[str], kind: np.ndarray, si: np.ndarray, ti: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, list[str], list[str]]:
+    """(pair, observed, truth) of the maximal runs of errors, both sides at most ``MAX_SPAN`` long."""
+    bad = kind != edit_paths.MATCH
+    new = bad.copy()
+    new[1:] &= ~bad[:-1] | (pair[1:] != pair[:-1])
+    first, run = np.flatnonzero(new), np.cumsum(new) - 1
+    taken = lambda none: np.bincount(run[bad & (kind != none)], minlength=len(first))
+    a, b = taken(edit_paths.DEL), taken(edit_paths.INS)
+    some = (a <= MAX_SPAN) & (b <= MAX_SPAN)
+    first, a, b = first[some], a[some], b[some]
+    cut = lambda texts, at, size: [texts[p][i : i + k] for p, i, k in zip(pair[first].tolist(), at[first].tolist(), size.tolist(), strict=True)]
+    return pair[first], cut(sources, si, a), cut(targets, ti, b)
 
 
 def align(source: Column | str, target: Column | str) -> Column:
-    """Array of operations by an Arrow function: the dynamic program that expressions can't state well."""
+    """Struct (ops, spans) by an Arrow function: the dynamic program that expressions can't state well.
+
+    ``ops`` are the operations in order, ``spans`` (observed, truth) the runs of errors of at most
+    ``MAX_SPAN`` characters a side; null where a side is null.
+    """
 
-    @F.pandas_udf(OPS)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        names = ("kind", "source", "target", "si", "ti")
+    @F.arrow_udf(f"struct<ops:{OPS},spans:{SPANS}>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            made = [align_pair(s, t) if s is not None and t is not None else None for s, t in zip(left, right, strict=True)]
-            yield pd.Series([None if ops is None else [dict(zip(names, o, strict=True)) for o in ops] for ops in made])
+            null = np.logical_or(left.is_null().to_numpy(zero_copy_only=False), right.is_null().to_numpy(zero_copy_only=False))
+            sources, targets = (["" if x is None else x for x in side.to_pylist()] for side in (left, right))
+            offsets, kind, si, ti, a, b, pair = edit_paths.paths(sources, targets)
+            fields = [pa.array(edit_paths.KINDS).take(pa.array(kind)), _signs(a), _signs(b), pa.array(si, pa.int32()), pa.array(ti, pa.int32())]
+            ops = pa.StructArray.from_arrays(fields, ["kind", "source", "target", "si", "ti"])
+            whose, observed, truth = _spans(sources, targets, kind, si, ti, pair)
+            spans = pa.StructArray.from_arrays([pa.array(observed, pa.string()), pa.array(truth, pa.string())], ["observed", "truth"])
+            ends = np.searchsorted(whose, np.arange(len(sources) + 1))
+            lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values) for at, values in ((offsets, ops), (ends, spans))]
+            yield pa.StructArray.from_arrays(lists, ["ops", "spans"], mask=pa.array(null))
 
     return run(source, target)
 
 
 def aligned(pairs: DataFrame, source: str = "predicted", target: str = "corrected") -> DataFrame:
-    """(source, target, n, ops): each distinct pair is aligned once, ``n`` is how often it occurs."""
+    """(predicted, corrected, n, ops, spans): each distinct pair is aligned once, ``n`` is how often it occurs."""
     distinct = pairs.groupBy(F.col(source).alias("predicted"), F.col(target).alias("corrected")).agg(F.count("*").alias("n"))
-    return distinct.withColumn("ops", align("predicted", "corrected"))
+    return distinct.withColumn("_a", align("predicted", "corrected")).select("predicted", "corrected", "n", "_a.ops", "_a.spans")
 
 
 def error_spans(alignments: DataFrame) -> DataFrame:
-    """(observed, truth, count) of maximal runs of errors, both sides at most ``MAX_SPAN`` long: gaps and islands."""
-    ops = alignments.select("predicted", "corrected", "n", F.posexplode("ops").alias("pos", "op"))
-    pair = Window.partitionBy("predicted", "corrected").orderBy("pos")
-    island = F.sum(F.when(F.col("op.kind") == "match", 1).otherwise(0)).over(pair)
-    bad = ops.withColumn("island", island).filter("op.kind <> 'match'")
-    joined = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(f"op.{side}").alias("c")))), lambda x: x["c"]), "")
-    spans = bad.groupBy("predicted", "corrected", "n", "island").agg(joined("source").alias("observed"), joined("target").alias("truth"))
-    return spans.filter((F.length("observed") <= MAX_SPAN) & (F.length("truth") <= MAX_SPAN)).groupBy("observed", "truth").agg(F.sum("n").alias("count"))
+    """(observed, truth, count) of maximal runs of errors, both sides at most ``MAX_SPAN`` long."""
+    return alignments.select("n", F.explode("spans").alias("s")).groupBy("s.observed", "s.truth").agg(F.sum("n").alias("count"))

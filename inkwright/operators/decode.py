@@ -2,14 +2,16 @@
 
 Pools and channel prices don't depend on context, so they are made once for each distinct token. The
 context is what was decoded before: a recurrence along the page. It is solved as a fixpoint: decode all
-places at once with the last round's result as history, until nothing changes. Place i is final after
-at most i + 1 rounds, and a result that reproduces itself is the left-to-right answer everywhere.
+places at once with the last round's result as history, then again those whose history changed, until
+nothing changes. Place i is final after at most i + 1 rounds, and a result that reproduces itself is the
+left-to-right answer everywhere.
 """
 
 from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,15 +20,18 @@ from pyspark.sql import functions as F
 from ..functions.text import clamp, is_nonword, match_case
 from .candidates import candidate_pool
 from .channel import Channel, log_channels
-from .language import log_probs, surprisal
+from .language import context_free, in_context, ratio_tables, surprisal
 from .model import BOUNDARY, bigrams, char_ngrams, language_totals, unigrams
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to ``spark.checkpoint.dir``; where the session names none, to a temporary folder of this machine (tests)."""
+    """Write ``df`` once to ``spark.checkpoint.dir``; a session on one machine (tests) may name none and gets a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="inkwright-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="inkwright-"))
     return df.checkpoint(eager=True)
 
 
@@ -91,6 +96,22 @@ def fallback_tier(confidence: Column, threshold: float = 0.55) -> Column:
     return F.when(clamp(confidence) < threshold, "red").otherwise("none")
 
 
+@dataclass(frozen=True)
+class Prices:
+    """What a decode looks up: priced candidates of each distinct token, and the shares of words in context."""
+
+    candidates: DataFrame
+    ratios: tuple[DataFrame, DataFrame]
+
+    @classmethod
+    def of(cls, tokens: DataFrame, models: Models, limits: Thresholds, cut: Callable[[DataFrame], DataFrame]) -> Prices:
+        """``cut`` settles a table that every round reads."""
+        channel = priced_candidates(tokens, models, limits)
+        flat = context_free(channel.select(F.col("candidate").alias("word")), models.trigrams, models.chars, models.totals)
+        candidates = channel.withColumnRenamed("candidate", "word").join(flat, "word")
+        return cls(cut(candidates), tuple(map(cut, ratio_tables(models.trigrams))))
+
+
 def priced_candidates(tokens: DataFrame, models: Models, limits: Thresholds) -> DataFrame:
     """(token, confidence, alternatives, candidate, channel) for distinct readable tokens.
 
@@ -109,12 +130,12 @@ def priced_candidates(tokens: DataFrame, models: Models, limits: Thresholds) ->
     return distinct.join(pool, ["token", "alternatives"]).join(costs, ["token", "candidate"]).select("token", "confidence", "alternatives", "candidate", price.alias("channel"))
 
 
-def decode_round(tokens: DataFrame, priced: DataFrame, history: DataFrame, models: Models, limits: Thresholds, page: str) -> DataFrame:
-    """One round: (page, idx, text, tier, ...) of all readable tokens, given (page, idx, text) of the last."""
+def decode_round(tokens: DataFrame, history: DataFrame, prices: Prices, limits: Thresholds, page: str) -> DataFrame:
+    """One round: (page, idx, text, tier, ...) of the given readable tokens, given (page, idx, text) of the last."""
     before = lambda n, name: history.select(F.col(page), (F.col("idx") + n).alias("idx"), F.lower("text").alias(name))
     seen = tokens.join(before(1, "w1"), [page, "idx"], "left").join(before(2, "w2"), [page, "idx"], "left").fillna({"w1": BOUNDARY, "w2": BOUNDARY})
-    options = seen.join(priced, ["token", "confidence", "alternatives"]).withColumnRenamed("candidate", "word")
-    scored = log_probs(options, models.trigrams, models.chars, models.totals).withColumn("score", F.col("channel") + limits.prior_weight * F.col("log_prob"))
+    options = seen.join(prices.candidates, ["token", "confidence", "alternatives"])
+    scored = in_context(options, prices.ratios).withColumn("score", F.col("channel") + limits.prior_weight * F.col("log_prob"))
     ranked = F.struct((-F.col("score")).alias("s"), F.col("word").alias("w"))
     own = F.col("word") == F.col("token")
     keep = [c for c in ("observed", "token", "confidence") if c in tokens.columns]
@@ -137,8 +158,10 @@ def decode_round(tokens: DataFrame, priced: DataFrame, history: DataFrame, model
 def decode(observed: DataFrame, models: Models, limits: Thresholds | None = None, *, page: str = "page_id", max_rounds: int = 50, checkpoint: bool = True) -> DataFrame:
     """Decode pages of tokens: (page, idx, observed, confidence, alternatives) in, one row a token out.
 
-    ``idx`` counts from 0 without gaps; ``alternatives`` is an array of (text, confidence). Each round is
-    written to the session's checkpoint folder. A page that hasn't settled in ``max_rounds`` raises.
+    ``idx`` counts from 0 without gaps; ``alternatives`` is an array of (text, confidence). The first
+    round decodes all places, each later one only those whose two words before have changed, on the
+    pages that have such places; a place's last result counts. Rounds are written to the session's
+    checkpoint folder. A page that hasn't settled in ``max_rounds`` raises.
     """
     limits = limits or Thresholds()
     conf = clamp(F.coalesce("confidence", F.lit(0.0)))
@@ -154,17 +177,24 @@ def decode(observed: DataFrame, models: Models, limits: Thresholds | None = None
         F.lit(None).cast("string").alias("suggestion"), F.array().cast(alt).alias("alternatives"),
     )
     words = cut(rows.filter(~plain))
-    priced = cut(priced_candidates(words, models, limits))
-    history = rows.select(page, "idx", F.col("observed").alias("text"))
-    last = None
-    for _ in range(max_rounds):
-        now = cut(decode_round(words, priced, history, models, limits, page))
-        before = history if last is None else last
-        changed = now.select(page, "idx", "text").join(before.select(page, "idx", F.col("text").alias("_t")), [page, "idx"]).filter("text <> _t").limit(1).count()
-        last = now
-        if not changed:
-            return fixed.unionByName(now)
-        history = fixed.select(page, "idx", "text").union(now.select(page, "idx", "text"))
+    prices = Prices.of(words, models, limits, cut)
+    history, active, results = cut(rows.select(page, "idx", F.col("observed").alias("text"))), words, []
+    for number in range(max_rounds):
+        now = cut(decode_round(active, history, prices, limits, page))
+        results.append(now.withColumn("_round", F.lit(number)))
+        both = history.join(now.select(page, "idx", F.col("text").alias("_t")), [page, "idx"], "left")
+        changed = cut(both.filter("text <> _t").select(page, "idx"))
+        if changed.isEmpty():
+            every = results[0]
+            for more in results[1:]:
+                every = every.unionByName(more)
+            names = [c for c in now.columns if c not in (page, "idx")]
+            last = every.groupBy(page, "idx").agg(F.max_by(F.struct(*names), "_round").alias("_r"))
+            return fixed.unionByName((last if number else now.select(page, "idx", F.struct(*names).alias("_r"))).select(page, "idx", "_r.*"))
+        pages = changed.select(page).distinct()
+        history = cut(both.join(pages, page, "left_semi").select(page, "idx", F.coalesce("_t", "text").alias("text")))
+        after = changed.select(page, F.explode(F.array(F.col("idx") + 1, F.col("idx") + 2)).alias("idx")).distinct()
+        active = cut(words.join(after, [page, "idx"], "left_semi"))
     raise RuntimeError("decode: not settled")
 
 
@@ -172,7 +202,7 @@ def first_round(observed: DataFrame, models: Models, limits: Thresholds | None =
     """The first round alone: history is what was observed."""
     limits = limits or Thresholds()
     rows = observed.withColumn("confidence", clamp(F.col("confidence"))).withColumn("token", F.lower("observed")).filter(~((F.col("observed") == "") | is_nonword(F.col("observed"))))
-    return decode_round(rows, priced_candidates(rows, models, limits), observed.select(page, "idx", F.col("observed").alias("text")), models, limits, page)
+    return decode_round(rows, observed.select(page, "idx", F.col("observed").alias("text")), Prices.of(rows, models, limits, lambda d: d), limits, page)
 
 
 def row_counts_match(sent: DataFrame, replied: DataFrame, page: str = "page_id") -> DataFrame:

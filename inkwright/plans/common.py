@@ -30,8 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a file with fewer splits than there are cores to all of them; a large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "conversations"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +63,7 @@ def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, line, words) of each line that has tokens: text that the models haven't seen."""
     from ..functions.text import splitlines, tokenize
 
-    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(splitlines(F.col("text"))).alias("line", "_t"))
+    lines = conversations(spark, sf_dir).select("conv_id", "turn", F.posexplode(splitlines(F.col("text"))).alias("line", "_t"))
     return lines.select("conv_id", "turn", "line", tokenize(F.col("_t")).alias("words")).filter(F.size("words") > 0)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment
 from ..operators import channel, evaluate, model
-from .common import ALIGN, CHARS, LEXICON, NGRAMS, SAMPLES, documents, fitted, lines_sql, register, samples, table, token_alignments, tokens_sql
+from .common import ALIGN, CHARS, LEXICON, NGRAMS, SAMPLES, conversations, documents, fitted, lines_sql, register, samples, table, token_alignments, tokens_sql
 
 
 @register(f"WITH {LEXICON} SELECT word, count FROM lexicon ORDER BY count DESC, word LIMIT 100")
@@ -28,7 +28,7 @@ def lexicon_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {LEXICON}, asked AS (SELECT DISTINCT lower(unnest({tokens_sql()})) AS word FROM conversations)
   SELECT a.word, coalesce(l.count, 0)::BIGINT AS count, l.count IS NOT NULL AS known FROM asked a LEFT JOIN lexicon l ON a.word = l.word""")
 def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = model.word_stream(table(spark, sf_dir, "conversations")).distinct()
+    asked = model.word_stream(conversations(spark, sf_dir)).distinct()
     found = asked.join(model.lexicon(documents(spark, sf_dir)), "word", "left")
     return found.select("word", F.coalesce("count", F.lit(0)).alias("count"), F.col("count").isNotNull().alias("known"))
 
@@ -69,12 +69,12 @@ def lm_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {LEXICON}, more AS (SELECT lower(unnest({tokens_sql()})) AS word FROM conversations)
   SELECT word, sum(count)::BIGINT AS count FROM (SELECT word, count FROM lexicon UNION ALL SELECT word, count(*)::BIGINT FROM more GROUP BY word) GROUP BY word""")
 def merge_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.merge(model.lexicon(documents(spark, sf_dir)), model.lexicon(table(spark, sf_dir, "conversations")))
+    return model.merge(model.lexicon(documents(spark, sf_dir)), model.lexicon(conversations(spark, sf_dir)))
 
 
 @register(f"""WITH {lines_sql("conversations", "conv_id")} SELECT conv_id, sum(len({tokens_sql("body")}))::BIGINT AS words FROM lines GROUP BY conv_id""")
 def ingest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "text")
+    rows = conversations(spark, sf_dir).select("conv_id", "text")
     from ..functions.text import splitlines, tokenize
 
     lines = rows.select("conv_id", F.explode(splitlines(F.col("text"))).alias("line"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment
 from ..operators import candidates, decode, evaluate, language, model
-from .common import CHARS, LEXICON, NGRAMS, SAMPLES, B, conversation_lines, documents, fitted, lines_sql, register, samples, table, tokens_sql
+from .common import CHARS, LEXICON, NGRAMS, SAMPLES, B, conversation_lines, conversations, documents, fitted, lines_sql, register, samples, table, tokens_sql
 
 _NO_QUOTE = "replace({}, '’', chr(1))"  # DuckDB counts bytes, so a longer character is made one byte
 
@@ -94,7 +94,7 @@ def surprisal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
   near AS (SELECT token, word, count FROM asked JOIN known USING (n) WHERE t <> w AND levenshtein(t, w) <= k)
   SELECT token, word, count, rank FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY count DESC, word)::INT AS rank FROM near) WHERE rank <= 64""")
 def lexicon_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = model.word_stream(table(spark, sf_dir, "conversations")).select(F.col("word").alias("token"))
+    asked = model.word_stream(conversations(spark, sf_dir)).select(F.col("word").alias("token"))
     return candidates.lexicon_candidates(asked, model.lexicon(documents(spark, sf_dir))).select("token", "word", "count", "rank")
 
 
@@ -138,7 +138,7 @@ def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def held_out_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as recognised pages: a page is a conversation, its tokens in order."""
-    rows = table(spark, sf_dir, "conversations")
+    rows = conversations(spark, sf_dir)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"]), "\n")
     pages = rows.groupBy("conv_id").agg(text.alias("text"))
     read = evaluate.synthesize(pages, "conv_id")
@@ -200,4 +200,4 @@ def cer_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT conv_id, turn, sum(len(list_filter(list_zip(x, y, true), lambda p: p[1] <> p[2])))::BIGINT AS wrong FROM z GROUP BY conv_id, turn""")
 def diff_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.replace(F.replace("text", F.lit("the "), F.lit("teh ")), F.lit(". "), F.lit(" "))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.sum(evaluate.differing_words(F.col("text"), after)).cast("long").alias("wrong"))
+    return conversations(spark, sf_dir).groupBy("conv_id", "turn").agg(F.sum(evaluate.differing_words(F.col("text"), after)).cast("long").alias("wrong"))
