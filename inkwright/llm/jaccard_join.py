@@ -32,6 +32,8 @@ RECALL = 0.9999
 MAX_HASHES = 128
 #: Sets of a component that are compared at a time; larger components are dealt out as pairs of blocks.
 BLOCK = 1024
+#: Sets that are compared with a pivot at a time: its own set is sent once to so many.
+PIVOT_BLOCK = 128
 #: Pivots a band that are tried one after another.
 ROUNDS = 2
 #: Bytes of sets that are compared in one group of tasks' rows, on average.
@@ -184,7 +186,7 @@ def _with_pivots(open_: DataFrame, blobs: DataFrame, threshold: float, block: in
     """
     spark = open_.sparkSession
     pairs = open_.filter("rep <> least").select(F.col("rep").alias("node"), F.col("least").alias("pivot")).distinct()
-    blocks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
+    blocks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(min(block, PIVOT_BLOCK))).cast("int").alias("n"))
     dealt = pairs.join(blocks, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("part"))
     own = blocks.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
     sets = blobs.select("node", "blob")

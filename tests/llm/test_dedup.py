@@ -168,6 +168,55 @@ def test_jaccard_of_a_repeated_row_with_near_copies(spark, block):
     assert sorted(got) == sorted((r[0], *want[r[0]]) for r in rows + again)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_jaccard_of_a_chain_of_unlinked_candidates(spark, monkeypatch, rounds):
+    """Neighbours share half of their words: bands may propose them, but nothing chains them, and real copies are still found."""
+    from inkwright.llm import jaccard_join
+
+    chunk = lambda i: " ".join(f"c{i}_{k}" for k in range(60))
+    texts = [f"{chunk(i)} {chunk(i + 1)} {chunk(i + 2)}" for i in range(60)]
+    texts += [texts[7].replace("c8_3 ", "other "), texts[30].replace("c31_5 ", "another ")]
+    docs = spark.createDataFrame([(i, t, "n", "x") for i, t in enumerate(texts)], DOCS)
+    chained = []
+    whole = jaccard_join._compared
+
+    def spy(members, *rest):
+        chained.append(members.groupBy("component").count().agg(F.max("count")).first()[0] or 0)
+        return whole(members, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_compared", spy)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(docs, rounds=rounds).collect()}
+    assert got == brute_classes(list(enumerate(texts)))
+    assert chained[-1] <= 3
+
+
+def complement_words(n):
+    """Two words of n letters that a polynomial modulo 2**64 can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 8192])
+def test_words_that_simple_hashes_confuse(spark, n):
+    a, b = complement_words(n)
+    rows = [(1, f"{a} {words_of(19)}", "x", "x"), (2, f"{b} {words_of(19)}", "x", "x"), (3, a, "x", "x"), (4, b, "x", "x"), (5, f"{b} {words_of(19)}", "x", "x")]
+    docs = spark.createDataFrame(rows, DOCS)
+    pairs = [(r[0], r[1]) for r in rows]
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in dedup_substrings(docs).collect()}
+    assert got == brute_removed(pairs) and got[2][1] == 0 and got[5][1] == 20
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(docs).collect()} == brute_classes(pairs)
+
+
+def test_substring_dedup_with_many_groups(spark, sf_dir, monkeypatch):
+    """Many more groups than partitions change nothing."""
+    from inkwright.llm import substring_dedup
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("doc_id < 60")
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 4000)
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in dedup_substrings(docs).collect()}
+    assert got == brute_removed([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_jaccard_edge_tables(spark):
     assert jaccard_classes(spark.createDataFrame([], DOCS)).collect() == []
     rows = spark.createDataFrame([(None, "a b c d e f", "n", "x"), (4, "a b c d e f", "n", "x"), (4, "a b c d e f", "n", "x")], DOCS)
