@@ -38,6 +38,8 @@ GROUP_BYTES = 64 << 20
 GROUP_GRAMS = 1 << 20
 #: Bytes of text that are read, counted, stored and scored at a time.
 CHUNK = 1 << 20
+#: n-grams that are held unmerged.
+MERGE = 1 << 20
 END = b"\n"
 TEXTS, GRAMS, WORDS, TOTALS = range(4)
 ROW = "block long, kind int, g int, a binary, b binary"
@@ -82,8 +84,15 @@ def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+    """Distinct n-grams of all parts in order, with the sums of their numbers."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    del order
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[at], np.add.reduceat(n, at) if len(at) else n
 
 
 # --- blocks -----------------------------------------------------------------------------------
@@ -137,7 +146,8 @@ class Block:
             for s in some:
                 self.words.update(s.split() if kind else dict.fromkeys(s.split(), 0))
             self.words[END] += len(some) if kind else 0
-        if len(self.parts) > 32:
+        # Merged when what came since is more than what was merged: few merges, and little beside the result.
+        if sum(len(keys) for keys, _ in self.parts[1:]) > max(MERGE, len(self.parts[0][0])):
             self.parts = [_merge(self.parts)]
         self.texts.append(_store(pa.table({"id": ids, "x": texts})))
         self.size += sum(map(len, streams))
@@ -493,10 +503,12 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         kind = table.column("kind").to_numpy()
         blob = lambda column, k: [table.column(column)[i].as_py() for i in np.flatnonzero(kind == k).tolist()]
         lookup = CellTable(np.concatenate([_unsqueeze(x) for x in blob("a", GRAMS)]), np.concatenate([np.frombuffer(x) for x in blob("b", GRAMS)]))
-        counts: dict[bytes, int] = {}
-        for a, b in zip(blob("a", WORDS), blob("b", WORDS), strict=True):
-            counts.update(zip(_unsqueeze_words(a), _unsqueeze(b).tolist(), strict=True))
-        logs = {w: math.log10(c + 0.1) - denominator for w, c in counts.items()}
+        place: dict[bytes, int] = {}
+        for a in blob("a", WORDS):
+            for w in _unsqueeze_words(a):
+                place[w] = len(place)
+        count = np.concatenate([_unsqueeze(b) for b in blob("b", WORDS)]).astype(np.int64)
+        logs = np.log10(count + 0.1) - denominator
         kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
         done = []
         for stored in blob("a", TEXTS):
@@ -510,7 +522,8 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             for k, s, value in zip(part.column("id").to_pylist(), streams, scores, strict=True):
                 tokens = s.split()
                 tokens.append(END)
-                row = (held_out(k), len(tokens), sum(map(bool, map(counts.__getitem__, tokens))), n_train, math.fsum(map(logs.__getitem__, tokens)), value, len(s), -value / math.log10(2) / len(s))
+                at = np.fromiter(map(place.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+                row = (held_out(k), len(tokens), int(np.count_nonzero(count[at])), n_train, float(logs[at].sum()), value, len(s), -value / math.log10(2) / len(s))
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             done.append(pa.table([part.column("id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names))
