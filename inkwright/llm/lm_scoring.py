@@ -31,15 +31,17 @@ from .textbytes import LOWER, mix64, slices
 
 DEPTH = 5
 #: Bytes of text that make a block: what a block asks of the whole corpus it asks once.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 #: Bytes of text whose n-grams and words are summed together, on average.
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 16 << 20
 #: n-grams whose tree nodes are worked out together, on average.
-GROUP_GRAMS = 1 << 20
+GROUP_GRAMS = 1 << 18
 #: Bytes of text that are read, counted, stored and scored at a time.
 CHUNK = 1 << 20
+#: Bytes of a row group of the blocks' file.
+ROW_GROUP = 8 << 20
 #: n-grams that are held unmerged.
-MERGE = 1 << 20
+MERGE = 1 << 19
 END = b"\n"
 TEXTS, GRAMS, WORDS, TOTALS = range(4)
 ROW = "block long, kind int, g int, a binary, b binary"
@@ -187,7 +189,9 @@ def blocks(docs: DataFrame, *, depth: int, key: str, text: str, block_bytes: int
         if block.texts:
             yield from block.rows()
 
-    docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("x")).mapInArrow(gather, ROW).write.parquet(path)
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("x")).mapInArrow(gather, ROW)
+    # Readers hold a row group at a time, and these rows are large.
+    rows.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return docs.sparkSession.read.schema(ROW).parquet(path)
 
 
