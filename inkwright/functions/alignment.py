@@ -33,14 +33,24 @@ def pooled_error_rate(truth: Column, observed: Column) -> Column:
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two word arrays: each distinct word of the pair becomes one character.
+    """Edit distance of two word arrays: each distinct word of the pair becomes one character of the planes from U+10000 on.
 
-    Characters from U+4E00 on serve up to 20,000 distinct words.
+    There are 1,048,576 of them; a pair with more distinct words is an error.
     """
+    def sign(word: Column, known: Column) -> Column:
+        k = F.array_position(known, word) + 0xFFFF
+        six = lambda bits: F.lit(0x80).bitwiseOR(F.shiftright(k, bits).bitwiseAND(F.lit(63)))
+        utf8 = F.shiftleft(F.lit(0xF0).bitwiseOR(F.shiftright(k, 18)), 24) + F.shiftleft(six(12), 16) + F.shiftleft(six(6), 8) + six(0)
+        return F.unhex(F.hex(utf8)).cast("string")
+
+    def distance(known: Column) -> Column:
+        coded = lambda x: F.array_join(F.transform(x, lambda w: sign(w, known)), "")
+        too_many = F.raise_error(F.lit("word_distance: over 1,048,576 distinct words")).cast("int")
+        return F.when(F.size(known) > 1 << 20, too_many).otherwise(F.levenshtein(coded(a), coded(b)))
+
+    # Bound to a name, the distinct words are found once, not once a word.
     both = F.array_distinct(F.concat(a, b))
-    sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 19967), 4, "0")), "UTF-16BE")
-    coded = lambda x: F.array_join(F.transform(x, sign), "")
-    return F.levenshtein(coded(a), coded(b))
+    return F.when(both.isNotNull(), F.transform(F.array(both), distance)[0])
 
 
 def word_error_rate(truth: Column, observed: Column) -> Column:

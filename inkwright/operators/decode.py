@@ -10,7 +10,6 @@ left-to-right answer everywhere.
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,23 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp, is_nonword, match_case
+from ..shared import settled
 from .candidates import candidate_pool
 from .channel import Channel, log_channels
 from .language import context_free, in_context, ratio_tables, surprisal
 from .model import BOUNDARY, bigrams, char_ngrams, language_totals, unigrams
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to ``spark.checkpoint.dir``; a session on one machine (tests) may name none and gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="inkwright-"))
-    return df.checkpoint(eager=True)
-
-
 @dataclass(frozen=True)
 class Thresholds:
     """The tunables' defaults."""
@@ -63,6 +52,14 @@ class Models:
         chars = char_ngrams(lexicon)
         return cls(confusion, spans, lexicon, trigrams, chars, language_totals(unigrams(trigrams), chars))
 
+    @classmethod
+    def of_tables(cls, tables: dict[str, DataFrame]) -> Models:
+        """From the tables of a snapshot (``sources.sinks.TABLES``)."""
+        spans = tables["confusion"].filter("kind = 'span'").select(F.col("a").alias("observed"), F.col("b").alias("truth"), "count")
+        trigrams = tables["ngrams"].filter("n = 3").select("w2", "w1", "word", "count")
+        settle = [tables["confusion"].filter("kind <> 'span'"), spans, tables["lexicon"], trigrams]
+        return cls.of(*map(settled, settle))
+
     @property
     def unigrams(self) -> DataFrame:
         return unigrams(self.trigrams)
@@ -138,13 +135,14 @@ def decode_round(tokens: DataFrame, history: DataFrame, prices: Prices, limits:
     scored = in_context(options, prices.ratios).withColumn("score", F.col("channel") + limits.prior_weight * F.col("log_prob"))
     ranked = F.struct((-F.col("score")).alias("s"), F.col("word").alias("w"))
     own = F.col("word") == F.col("token")
-    keep = [c for c in ("observed", "token", "confidence") if c in tokens.columns]
+    keep = [c for c in ("observed", "token", "confidence", "substitute_nats") if c in tokens.columns]
+    least_gain = F.col("substitute_nats") if "substitute_nats" in keep else F.lit(limits.substitute_nats)
     best = scored.groupBy(page, "idx").agg(*[F.first(c).alias(c) for c in keep], F.slice(F.array_sort(F.collect_list(ranked)), 1, 4).alias("top"), F.max(F.when(own, F.col("score"))).alias("own"), F.max(F.when(own, F.col("log_prob"))).alias("own_log_prob"))
     first, second = F.col("top")[0], F.get("top", F.lit(1))
     score = -first["s"]
     is_new = first["w"] != F.col("token")
     gap = second["s"] - first["s"]
-    substituted = is_new & (score - F.col("own") >= limits.substitute_nats)
+    substituted = is_new & (score - F.col("own") >= least_gain)
     bits = surprisal(F.col("own_log_prob"))
     verdict = classify(F.col("confidence"), bits, F.coalesce(gap, F.lit(math.inf)), substituted, is_new, F.col("observed"), first["w"], limits)
     return best.select(
@@ -158,6 +156,7 @@ def decode_round(tokens: DataFrame, history: DataFrame, prices: Prices, limits:
 def decode(observed: DataFrame, models: Models, limits: Thresholds | None = None, *, page: str = "page_id", max_rounds: int = 50, checkpoint: bool = True) -> DataFrame:
     """Decode pages of tokens: (page, idx, observed, confidence, alternatives) in, one row a token out.
 
+    A column ``substitute_nats``, if there is one, takes the place of the threshold of that name.
     ``idx`` counts from 0 without gaps; ``alternatives`` is an array of (text, confidence). The first
     round decodes all places, each later one only those whose two words before have changed, on the
     pages that have such places; a place's last result counts. Rounds are written to the session's
@@ -165,7 +164,7 @@ def decode(observed: DataFrame, models: Models, limits: Thresholds | None = None
     """
     limits = limits or Thresholds()
     conf = clamp(F.coalesce("confidence", F.lit(0.0)))
-    rows = observed.select(page, "idx", F.coalesce("observed", F.lit("")).alias("observed"), conf.alias("confidence"), F.coalesce("alternatives", F.array().cast("array<struct<text:string,confidence:double>>")).alias("alternatives"))
+    rows = observed.select(page, "idx", F.coalesce("observed", F.lit("")).alias("observed"), conf.alias("confidence"), F.coalesce("alternatives", F.array().cast("array<struct<text:string,confidence:double>>")).alias("alternatives"), *[c for c in observed.columns if c == "substitute_nats"])
     rows = rows.withColumn("token", F.lower("observed"))
     cut = settled if checkpoint else (lambda d: d.cache())
     plain = (F.col("observed") == "") | is_nonword(F.col("observed"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,14 +113,14 @@ def error_rates(lines: DataFrame) -> DataFrame:
     return lines.agg(pooled_error_rate(joined("truth"), joined("observed")).alias("cer"), F.coalesce(F.avg(word_error_rate(F.col("truth"), F.col("observed"))), F.lit(0.0)).alias("wer"))
 
 
-def flag_quality(decoded: DataFrame) -> DataFrame:
-    """One row from (truth, observed, text, tier, substituted): tier counts, helped, hurt, precision, recall, F1.
+def flag_quality(decoded: DataFrame, *keys: str) -> DataFrame:
+    """One row (a row by ``keys``) from (truth, observed, text, tier, substituted): tier counts, helped, hurt, precision, recall, F1.
 
     A flag is right if the text after decoding is still wrong; case doesn't count.
     """
     low = lambda c: F.lower(F.col(c))
     flagged, wrong, was_wrong = F.col("tier") != "none", low("text") != low("truth"), low("observed") != low("truth")
-    n = decoded.agg(
+    n = decoded.groupBy(*keys).agg(
         F.count("*").alias("tokens"), F.count_if(F.col("tier") == "red").alias("red"), F.count_if(F.col("tier") == "amber").alias("amber"), F.count_if("substituted").alias("substituted"),
         F.count_if(F.col("substituted") & was_wrong & ~wrong).alias("helped"), F.count_if(F.col("substituted") & ~was_wrong & wrong).alias("hurt"),
         F.count_if(flagged & wrong).alias("tp"), F.count_if(flagged & ~wrong).alias("fp"), F.count_if(~flagged & wrong).alias("fn"),
@@ -136,15 +134,24 @@ def cer_reduction(baseline: Column, cer: Column) -> Column:
     return F.when(baseline > 0, (baseline - cer) / baseline).otherwise(0.0)
 
 
+def evaluate(decoded: DataFrame, *line: str) -> DataFrame:
+    """One row from decoded tokens (line, idx, truth, original, text, tier, substituted): error rates before and after, and flag quality."""
+    named = decoded.withColumn("observed", F.col("original"))
+    before = error_rates(as_lines(named, *line)).select(F.col("cer").alias("baseline_cer"), F.col("wer").alias("baseline_wer"))
+    after = error_rates(as_lines(named.withColumn("observed", F.col("text")), *line))
+    rates = before.crossJoin(after).withColumn("cer_reduction", cer_reduction(F.col("baseline_cer"), F.col("cer")))
+    return rates.crossJoin(flag_quality(named))
+
+
 def sweep_margin(tokens: DataFrame, truth: DataFrame, models: Models, values: tuple[float, ...] = SWEEP, limits: Thresholds | None = None, page: str = "page_id") -> DataFrame:
-    """(margin, flag quality): the decode is run again for each value, since what is substituted changes the context."""
-    out = None
-    for value in values:
-        done = decode(tokens, models, replace(limits or Thresholds(), substitute_nats=value), page=page)
-        both = done.join(truth.select(page, "idx", "truth"), [page, "idx"]).withColumn("observed", F.col("original"))
-        row = flag_quality(both).withColumn("margin", F.lit(value))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(margin, flag quality) for each margin: what is substituted changes the context, so every margin is a decode of its own.
+
+    All are decoded at once, as pages of their own: candidates and their prices are made once.
+    """
+    margin = F.explode(F.array(*[F.lit(float(v)) for v in values])).alias("substitute_nats")
+    every = tokens.select(*tokens.columns, margin).withColumn(page, F.struct(F.col(page).alias("page"), F.col("substitute_nats").alias("margin")))
+    done = decode(every, models, limits or Thresholds(), page=page).select(F.col(f"{page}.page").alias(page), F.col(f"{page}.margin").alias("margin"), "idx", "text", F.col("original").alias("observed"), "tier", "substituted")
+    return flag_quality(done.join(truth.select(page, "idx", "truth"), [page, "idx"]), "margin")
 
 
 def differing_words(before: Column, after: Column) -> Column:

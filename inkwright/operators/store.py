@@ -95,9 +95,79 @@ def cascade_delete(documents: DataFrame, pages: DataFrame, tables: dict[str, Dat
     return left | {name: t.join(dead_pages, F.col("page_id") == F.col("_page"), "left_anti") for name, t in tables.items()}
 
 
-def claims_in_order(jobs: DataFrame) -> DataFrame:
-    """(id, turn) of queued jobs: the order in which claims take them. Numbered within blocks of ids, then over blocks, so no task sees all."""
-    queued = jobs.filter("state = 'queued'").select("id", F.floor(F.col("id") / 4096).alias("_b"))
-    blocks = queued.groupBy("_b").agg(F.count("*").alias("n"))
-    first = blocks.select("_b", (F.sum("n").over(Window.orderBy("_b")) - F.col("n")).alias("_before"))
-    return queued.join(first, "_b").select("id", (F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("id"))).alias("turn"))
+def claims_in_order(jobs: DataFrame, blocks: int = 64) -> DataFrame:
+    """(id, turn) of queued jobs: the order in which claims take them.
+
+    Ids are cut into blocks of about the same number of jobs by approximate quantiles; jobs are
+    numbered within a block, and the blocks' counts summed up, so no task sorts all of them, however
+    the ids are spread.
+    """
+    queued = jobs.filter("state = 'queued'").select("id")
+    bounds = sorted(set(queued.approxQuantile("id", [i / blocks for i in range(1, blocks)], 1 / (4 * blocks))))
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
+    placed = queued.withColumn("_b", at)
+    counts = placed.groupBy("_b").agg(F.count("*").alias("n"))
+    first = counts.select("_b", (F.sum("n").over(Window.orderBy("_b")) - F.col("n")).alias("_before"))
+    return placed.join(F.broadcast(first), "_b").select("id", (F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("id"))).alias("turn"))
+
+
+def enqueue(jobs: DataFrame, pages: DataFrame) -> DataFrame:
+    """``jobs`` with a queued one, without attempts, for each of ``pages`` (id, document_id, page_id)."""
+    new = pages.select("id", "document_id", "page_id", F.lit("queued").alias("state"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"))
+    return jobs.unionByName(new, allowMissingColumns=True)
+
+
+def finish(jobs: DataFrame, done: DataFrame) -> DataFrame:
+    """Jobs named in ``done`` (id, error) are done, or failed at once where there is an error; a failed job isn't tried again."""
+    marks = done.select(F.col("id").alias("_id"), F.col("error").alias("_error"))
+    both = jobs.join(marks, F.col("id") == F.col("_id"), "left")
+    named = F.col("_id").isNotNull()
+    state = F.when(named & F.col("_error").isNotNull(), "failed").when(named, "done").otherwise(F.col("state"))
+    return both.withColumn("state", state).withColumn("error", F.when(named, F.col("_error")).otherwise(F.col("error"))).drop("_id", "_error")
+
+
+def requeue_running(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(jobs with all running ones back in the queue, one row with how many they were)."""
+    running = F.col("state") == "running"
+    return jobs.withColumn("state", F.when(running, "queued").otherwise(F.col("state"))), jobs.agg(F.count_if(running).alias("affected"))
+
+
+def tokens_of_page(tokens: DataFrame, page: int) -> DataFrame:
+    return tokens.filter(F.col("page_id") == page).orderBy("idx")
+
+
+def page_with_tokens(pages: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Each page with its tokens as an array in order; pages without tokens have an empty one."""
+    rest = [c for c in tokens.columns if c != "page_id"]
+    ordered = F.array_sort(F.collect_list(F.struct("idx", *[c for c in rest if c != "idx"])))
+    by_page = tokens.groupBy(F.col("page_id").alias("_page")).agg(ordered.alias("tokens"))
+    both = pages.join(by_page, F.col("id") == F.col("_page"), "left").drop("_page")
+    return both.withColumn("tokens", F.coalesce("tokens", F.array().cast(both.schema["tokens"].dataType)))
+
+
+def corrections_in_order(log: DataFrame, limit: int | None = None) -> DataFrame:
+    rows = log.orderBy("id")
+    return rows.limit(limit) if limit else rows
+
+
+def set_preprocessed(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """``pages`` with the preprocessing fields of ``found`` (id and any of skew, width, height, image); pages it doesn't name keep theirs."""
+    fields = [c for c in found.columns if c != "id"]
+    new = found.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in fields])
+    both = pages.join(new, F.col("id") == F.col("_id"), "left")
+    return both.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in pages.columns])
+
+
+def status(documents: DataFrame, pages: DataFrame, jobs: DataFrame, corrections: DataFrame) -> DataFrame:
+    """One row: how many documents, pages, pending and failed jobs, corrections."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    state = jobs.agg(F.count_if(F.col("state").isin("queued", "running")).alias("pending"), F.count_if(F.col("state") == "failed").alias("failed"))
+    return count(documents, "documents").crossJoin(count(pages, "pages")).crossJoin(state).crossJoin(count(corrections, "corrections"))
+
+
+def snapshot_then_events(documents: DataFrame, jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """(document_id, at, type, completed, total): where each document stands, at its first place, then what happened since."""
+    now = roll_up(jobs).select("document_id", F.lit(None).cast("timestamp").alias("at"), F.lit("snapshot").alias("type"), "completed", "total")
+    later = events.select("document_id", F.col("at").cast("timestamp").alias("at"), "type", F.lit(None).cast("long").alias("completed"), F.lit(None).cast("long").alias("total"))
+    known = documents.select(F.col("id").alias("_id"))
+    return now.unionByName(later).join(known, F.col("document_id") == F.col("_id"), "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment
 from ..operators import candidates, decode, evaluate, language, model
+from ..shared import settled
 from .common import CHARS, LEXICON, NGRAMS, SAMPLES, B, conversation_lines, conversations, documents, fitted, lines_sql, register, samples, table, tokens_sql
 
 _NO_QUOTE = "replace({}, '’', chr(1))"  # DuckDB counts bytes, so a longer character is made one byte
@@ -154,7 +155,7 @@ def page_models(spark: SparkSession, sf_dir: str) -> decode.Models:
     docs = documents(spark, sf_dir)
     confusion, spans = fitted(spark, sf_dir)
     # Every round of a decode reads them all: they are made once.
-    return decode.Models.of(*map(decode.settled, (confusion, spans, model.lexicon(docs), model.word_ngrams(docs))))
+    return decode.Models.of(*map(settled, (confusion, spans, model.lexicon(docs), model.word_ngrams(docs))))
 
 
 @register()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import store
+from ..shared import fresh_path
 from ..sources import sinks
 from ..streaming import progress as streams
 from .common import register, table
@@ -148,11 +149,9 @@ def progress_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     path = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
-    out = streams.run_to_table(streams.progress(stream), f"progress_{uuid.uuid4().hex}")
+    out = streams.run_to_table(streams.progress(stream), fresh_path(spark, "progress"))
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
