@@ -37,14 +37,15 @@ def word_distance(a: Column, b: Column) -> Column:
 
     There are 1,048,576 of them; a pair with more distinct words is an error.
     """
-    def sign(word: Column, known: Column) -> Column:
-        k = F.array_position(known, word) + 0xFFFF
+    def sign(place: Column) -> Column:
+        k = place + 0xFFFF
         six = lambda bits: F.lit(0x80).bitwiseOR(F.shiftright(k, bits).bitwiseAND(F.lit(63)))
         utf8 = F.shiftleft(F.lit(0xF0).bitwiseOR(F.shiftright(k, 18)), 24) + F.shiftleft(six(12), 16) + F.shiftleft(six(6), 8) + six(0)
         return F.unhex(F.hex(utf8)).cast("string")
 
     def distance(known: Column) -> Column:
-        coded = lambda x: F.array_join(F.transform(x, lambda w: sign(w, known)), "")
+        places = lambda x: F.transform(x, lambda w: F.array_position(known, w))
+        coded = lambda x: F.array_join(F.transform(places(x), sign), "")
         too_many = F.raise_error(F.lit("word_distance: over 1,048,576 distinct words")).cast("int")
         return F.when(F.size(known) > 1 << 20, too_many).otherwise(F.levenshtein(coded(a), coded(b)))
 

@@ -144,8 +144,8 @@ def test_lexicon_candidates_are_brute_force(spark):
 
 def test_word_distance_of_many_words(spark):
     """More distinct words than a plane below the surrogates has room for."""
-    words = [f"w{i}" for i in range(22_000)]
-    other = words[:100] + ["new"] + words[101:21_999]
+    words = [f"w{i}" for i in range(20_500)]
+    other = words[:100] + ["new"] + words[101:20_499]
     r = spark.createDataFrame([(words, other)], "a array<string>, b array<string>").select(alignment.word_distance(F.col("a"), F.col("b"))).first()
     assert r[0] == 2
 
