@@ -36,6 +36,8 @@ BLOCK = 1024
 PIVOT_BLOCK = 128
 #: Pivots a band that are tried one after another.
 ROUNDS = 2
+#: Components with at least this share of the sets are broadcast with their size: by their share, that many at most.
+HOT = 1000
 #: Bytes of sets that are compared in one group of tasks' rows, on average.
 GROUP_BYTES = 32 << 20
 #: n-grams that more sets than this hold are counted by matrix product, the others pair by pair.
@@ -217,8 +219,11 @@ def _with_pivots(open_: DataFrame, blobs: DataFrame, threshold: float, block: in
 def _compared(members: DataFrame, blobs: DataFrame, threshold: float, block: int, n_bytes: int) -> DataFrame:
     """(node, root, links): all sets (node) of a group (component) compared with each other, blockwise; rows for linked sets only."""
     spark = members.sparkSession
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
-    placed = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("k")).withColumn("n", F.ceil(F.col("k") / F.lit(block)).cast("int"))
+    # The few components with a large share of all sets are broadcast, so none is gathered in one task.
+    hot = F.broadcast(sizes.filter(F.col("k") * HOT > members.count()))
+    often, seldom = members.join(hot, "component"), members.join(hot.select("component"), "component", "left_anti").join(sizes, "component")
+    placed = often.unionByName(seldom).drop("k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     other = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("i", F.least("own", "_o")).withColumn("j", F.greatest("own", "_o"))
     group = F.pmod(F.xxhash64("component", "i", "j"), F.lit(_groups(spark, n_bytes))).alias("g")
     dealt = other.join(blobs, "node").select(group, "node", "component", "own", "i", "j", "m", "blob")
