@@ -67,8 +67,14 @@ def _laid(docs: DataFrame, *, key: str, source: str, text: str, weights: Sequenc
         .withColumn("sub", F.substring("digest", 1, 2))
     )
     bins = ["source", "bits", "lead", "sub"]
-    of_source = Window.partitionBy("source").orderBy("bits", "lead", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.groupBy(*bins).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(of_source), F.lit(0))).drop("n")
+    # Running counts in two levels: over the sizes of a source (some hundreds), and over the bins of a size.
+    counted = sized.groupBy(*bins).agg(F.count("*").alias("n"))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counted.groupBy(*bins[:3]).agg(F.sum("n").alias("all")).withColumn("smaller", F.coalesce(F.sum("all").over(before(bins[:1], bins[1:3])), F.lit(0)))
+    sizes = sizes.select(F.col("source").alias("z_source"), F.col("bits").alias("z_bits"), F.col("lead").alias("z_lead"), "smaller")
+    alike = counted["source"].eqNullSafe(sizes["z_source"]) & (counted["bits"] == sizes["z_bits"]) & (counted["lead"] == sizes["z_lead"])
+    within = F.coalesce(F.sum("n").over(before(bins[:3], bins[3:])), F.lit(0))
+    starts = counted.withColumn("within", within).join(sizes, alike).select(*bins, (F.col("smaller") + F.col("within")).alias("before"))
     place = (
         source_targets(sized, "source", "size", weights, share, ceiling)
         .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -100,8 +106,8 @@ def copies(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text
     expected copies. The order by size makes each stretch of the sum hold like sizes, so the words
     taken come near the target whatever the offset.
 
-    The running count is two-level: counts of small bins are summed over the bins of a source, and
-    rows are numbered within a bin, so no task holds a source, nor the rows of one key. Null keys and
+    The running count has levels: counts are summed over the sizes of a source, then over small bins of
+    a size, and rows are numbered within a bin, so no task holds a source, nor the rows of one key. Null keys and
     texts count as empty in the MD5, and a null text has no words; repeated rows are laid and taken
     each by itself; a null source is a source, the last one; one without words has target 0; an empty
     table gives no rows. Other columns are not read and may have any name.
