@@ -89,9 +89,9 @@ def test_paths_are_those_of_the_whole_table():
 
 
 def test_a_long_line_is_aligned(spark):
-    """33,000 characters: no table of all places."""
+    """12,000 characters: no table of all places."""
     rng = np.random.default_rng(6)
-    truth = "".join(rng.choice(list("abcdefgh "), 33_000))
+    truth = "".join(rng.choice(list("abcdefgh "), 12_000))
     read = "".join("" if x < 0.01 else c + "x" if x < 0.02 else "z" if x < 0.05 else c for c, x in zip(truth, rng.random(len(truth)), strict=True))
     rows = spark.createDataFrame([(read, truth), (None, "a"), ("hond", "hand")], "predicted string, corrected string")
     done = {r.corrected: r for r in alignment.aligned(rows).collect()}
