@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import cut, fresh_path, shuffle_partitions
-from .textbytes import LOWER, mix64, slices
+from .textbytes import LOWER, mix64, slices, words
 
 DEPTH = 5
 #: Bytes of text that make a block: what a block asks of the whole corpus it asks once.
@@ -219,6 +219,7 @@ def gram_replies(asked: DataFrame, scores: DataFrame, groups: int) -> DataFrame:
             if not np.array_equal(gram[at], keys):
                 raise KeyError("an n-gram without a score")
             out.append((block, GRAMS, 0, a, value[at].tobytes()))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches([_row_batch(out)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,6 +468,44 @@ class CellTable:
         return out
 
 
+class WordTable:
+    """A block's words by hash, with their numbers and logarithms; no two words of the block share a hash."""
+
+    def __init__(self, lists: list[bytes], counts: list[bytes], denominator: float):
+        parts, numbers, end = [], [], 0
+        for a, b in zip(lists, counts, strict=True):
+            a, n = zstandard.ZstdDecompressor().decompress(a), _unsqueeze(b).astype(np.int64)
+            if a[:1] == b" ":  # the end of a text comes before all words
+                end, a, n = int(n[0]), a[1:], n[1:]
+            parts.append(a)
+            numbers.append(n)
+        data = np.frombuffer(b"\n".join(parts), dtype=np.uint8)
+        spans, count = words(data, np.array([0, len(data)])), np.concatenate(numbers)
+        for self.lane in range(8):
+            h = spans.hashes(lane=self.lane)
+            order = np.argsort(h)
+            h = h[order]
+            if not (h[1:] == h[:-1]).any():
+                break
+        else:
+            raise ValueError("words of one hash")
+        self.hashes, self.count = h, count[order]
+        self.logs = np.log10(self.count + 0.1) - denominator
+        self.end_known, self.end_log = end > 0, math.log10(end + 0.1) - denominator
+
+    def sums(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, known tokens, sum of logarithms) of each row, its end included."""
+        spans = words(data, offsets)
+        h = spans.hashes(lane=self.lane)
+        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        if len(h) and not (len(self.hashes) and np.array_equal(self.hashes[at], h)):
+            raise KeyError("a word without a number")
+        rows = len(offsets) - 1
+        base = np.bincount(spans.row, weights=self.logs[at] if len(h) else None, minlength=rows)
+        known = np.bincount(spans.row, weights=(self.count[at] > 0) if len(h) else None, minlength=rows).astype(np.int64)
+        return spans.counts + 1, known + self.end_known, base + self.end_log
+
+
 # --- scores -----------------------------------------------------------------------------------
 
 
@@ -490,13 +529,13 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     groups = max(shuffle_partitions(spark), -(-int(size) // group_bytes))
     rows = blocks(docs, depth=depth, key=key, text=text, block_bytes=block_bytes, groups=groups)
     asked = rows.filter(F.col("kind") == GRAMS)
-    words = cut(word_replies(rows.filter(F.col("kind") == WORDS)))
+    vocabulary = cut(word_replies(rows.filter(F.col("kind") == WORDS)))
     n_train = n_types = 0
-    for r in words.filter(F.col("kind") == TOTALS).select("a").toLocalIterator():  # a row a group
+    for r in vocabulary.filter(F.col("kind") == TOTALS).select("a").toLocalIterator():  # a row a group
         n, v = np.frombuffer(r["a"], dtype="<i8").tolist()
         n_train, n_types = n_train + n, n_types + v
     replies = gram_replies(asked, cells(gram_totals(asked), depth=depth, group_grams=group_grams), groups)
-    every = rows.filter(F.col("kind") == TEXTS).union(words.filter(F.col("kind") == WORDS)).union(replies)
+    every = rows.filter(F.col("kind") == TEXTS).union(vocabulary.filter(F.col("kind") == WORDS)).union(replies)
     denominator = math.log10(n_train + 0.1 * (n_types + 1))
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_stream_bytes", "bits_per_byte"]
     schema = docs.select(F.col(f"`{key}`")).schema
@@ -507,12 +546,7 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         kind = table.column("kind").to_numpy()
         blob = lambda column, k: [table.column(column)[i].as_py() for i in np.flatnonzero(kind == k).tolist()]
         lookup = CellTable(np.concatenate([_unsqueeze(x) for x in blob("a", GRAMS)]), np.concatenate([np.frombuffer(x) for x in blob("b", GRAMS)]))
-        place: dict[bytes, int] = {}
-        for a in blob("a", WORDS):
-            for w in _unsqueeze_words(a):
-                place[w] = len(place)
-        count = np.concatenate([_unsqueeze(b) for b in blob("b", WORDS)]).astype(np.int64)
-        logs = np.log10(count + 0.1) - denominator
+        known = WordTable(blob("a", WORDS), blob("b", WORDS), denominator)
         kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
         done = []
         for stored in blob("a", TEXTS):
@@ -521,16 +555,12 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             found, sizes = grams(streams, depth)
             ends = np.cumsum(sizes)
             sums = np.concatenate([[0.0], np.cumsum(lookup[found])])
-            scores = (sums[ends] - sums[ends - sizes]).tolist()
-            out: list[list] = [[] for _ in kinds]
-            for k, s, value in zip(part.column("id").to_pylist(), streams, scores, strict=True):
-                tokens = s.split()
-                tokens.append(END)
-                at = np.fromiter(map(place.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-                row = (held_out(k), len(tokens), int(np.count_nonzero(count[at])), n_train, float(logs[at].sum()), value, len(s), -value / math.log10(2) / len(s))
-                for column, x in zip(out, row, strict=True):
-                    column.append(x)
+            scores = sums[ends] - sums[ends - sizes]
+            n_tokens, n_known, base = known.sums(np.frombuffer(b"".join(streams), dtype=np.uint8), np.concatenate([[0], ends]))
+            held = [held_out(k) for k in part.column("id").to_pylist()]
+            out = (held, n_tokens, n_known, np.full(len(held), n_train), base, scores, sizes, -scores / math.log10(2) / sizes)
             done.append(pa.table([part.column("id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(done)
 
     return every.groupBy("block").applyInArrow(score, schema)
