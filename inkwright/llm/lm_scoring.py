@@ -13,6 +13,8 @@ line end, the end of the text. Contexts before a text's first byte are line ends
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import os
 import zlib
@@ -37,7 +39,7 @@ GROUP_BYTES = 16 << 20
 #: n-grams whose tree nodes are worked out together, on average.
 GROUP_GRAMS = 1 << 18
 #: Bytes of text that are read, counted, stored and scored at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of a row group of the blocks' file.
 ROW_GROUP = 8 << 20
 #: n-grams that are held unmerged.
@@ -97,6 +99,13 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[at], np.add.reduceat(n, at) if len(at) else n
 
 
+def _give_back() -> None:
+    """Hand freed memory back to the system: a worker lives on, and the executor's other processes need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- blocks -----------------------------------------------------------------------------------
 
 
@@ -151,6 +160,7 @@ class Block:
         # Merged when what came since is more than what was merged: few merges, and little beside the result.
         if sum(len(keys) for keys, _ in self.parts[1:]) > max(MERGE, len(self.parts[0][0])):
             self.parts = [_merge(self.parts)]
+            _give_back()
         self.texts.append(_store(pa.table({"id": ids, "x": texts})))
         self.size += sum(map(len, streams))
 
@@ -186,8 +196,11 @@ def blocks(docs: DataFrame, *, depth: int, key: str, text: str, block_bytes: int
                 if block.size >= block_bytes:
                     yield from block.rows()
                     block = Block(depth, groups)
+                    _give_back()
         if block.texts:
             yield from block.rows()
+        del block
+        _give_back()
 
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("x")).mapInArrow(gather, ROW)
     # Readers hold a row group at a time, and these rows are large.
@@ -219,7 +232,7 @@ def gram_replies(asked: DataFrame, scores: DataFrame, groups: int) -> DataFrame:
             if not np.array_equal(gram[at], keys):
                 raise KeyError("an n-gram without a score")
             out.append((block, GRAMS, 0, a, value[at].tobytes()))
-        pa.default_memory_pool().release_unused()
+        _give_back()
         return pa.Table.from_batches([_row_batch(out)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +254,7 @@ def word_replies(asked: DataFrame) -> DataFrame:
             for w, k in zip(words, n, strict=True):
                 total[w] += k
         rows = [(block, WORDS, 0, a, _squeeze(np.array([total[w] for w in words]))) for block, a, words, _ in found]
+        _give_back()
         both = np.array([sum(total.values()), sum(map(bool, total.values()))], dtype="<i8")
         return pa.Table.from_batches([_row_batch([*rows, (None, TOTALS, 0, both.tobytes(), None)])])
 
@@ -560,7 +574,7 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             held = [held_out(k) for k in part.column("id").to_pylist()]
             out = (held, n_tokens, n_known, np.full(len(held), n_train), base, scores, sizes, -scores / math.log10(2) / sizes)
             done.append(pa.table([part.column("id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names))
-        pa.default_memory_pool().release_unused()
+        _give_back()
         return pa.concat_tables(done)
 
     return every.groupBy("block").applyInArrow(score, schema)
