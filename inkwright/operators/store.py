@@ -26,9 +26,13 @@ def newest(documents: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     return documents.orderBy(F.desc("id")).limit(limit if limit > 0 else LIST_LIMIT)
 
 
-def latest(log: DataFrame, key: str, *columns: str, at: str = "updated_at") -> DataFrame:
-    """The last non-null value of each column by ``at``: an update is a further row of the log."""
-    return log.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in columns], F.max(at).alias(at))
+def latest(log: DataFrame, key: str, *columns: str, at: str = "updated_at", number: str = "id") -> DataFrame:
+    """The last non-null value of each column by ``at``: an update is a further row of the log.
+
+    Of rows with equal ``at`` the one with the least ``number`` holds, in whatever order rows are read.
+    """
+    place = F.struct(F.col(at), -F.col(number))
+    return log.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull() & F.col(at).isNotNull(), place)).alias(c) for c in columns], F.max(at).alias(at))
 
 
 def insert_pages(pages: DataFrame, new: DataFrame) -> DataFrame:

@@ -293,6 +293,14 @@ def test_jobs(spark):
         store.insert_pages(pages_, pages_)
 
 
+def test_latest_of_equal_times_is_the_first(spark):
+    rows = [(1, 7, "old", "t", 1.0), (2, 7, "a", None, 5.0), (3, 7, "b", "u", 5.0), (4, 7, "c", "v", 5.0), (5, 8, "d", "w", None)]
+    for some in (rows, rows[::-1]):
+        log = spark.createDataFrame(some, "id long, source long, status string, title string, updated_at double").coalesce(1)
+        got = {r.source: (r.status, r.title, r.updated_at) for r in store.latest(log, "source", "status", "title").collect()}
+        assert got == {7: ("a", "u", 5.0), 8: (None, None, None)}
+
+
 def test_sources_and_snapshots(spark, tmp_path):
     (tmp_path / "w.txt").write_text(" one \n\ntwo\n three\n")
     assert [r.word for r in readers.word_list(spark, f"file://{tmp_path}/w.txt", 2).collect()] == ["one", "two"]
