@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 #: Fixed values.
 BAND, FALLBACK_HEIGHT = 0.6, 20.0
@@ -20,12 +21,15 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.get(F.array_sort(values), F.floor(F.size(values) * share).cast("int"))
 
 
+def typical_height(heights: Column) -> Column:
+    """The middle of the heights above 0; 20 without any."""
+    known = F.filter(heights, lambda h: h > 0)
+    return F.coalesce(upper_median(known), F.lit(FALLBACK_HEIGHT))
+
+
 def median_heights(words: DataFrame, page: str = "page_id") -> DataFrame:
     """(page, height): of the heights above 0; 20 without any."""
-    height = F.col("y1") - F.col("y0")
-    found = words.groupBy(page).agg(F.collect_list(F.when(height > 0, height)).alias("h"))
-    value = F.when(F.size("h") > 0, upper_median(F.col("h"))).otherwise(F.lit(FALLBACK_HEIGHT))
-    return found.select(page, F.when(value > 0, value).otherwise(F.lit(FALLBACK_HEIGHT)).alias("height"))
+    return words.groupBy(page).agg(F.collect_list(F.col("y1") - F.col("y0")).alias("h")).select(page, typical_height(F.col("h")).alias("height"))
 
 
 def group_lines(words: DataFrame, page: str = "page_id") -> DataFrame:
@@ -33,25 +37,28 @@ def group_lines(words: DataFrame, page: str = "page_id") -> DataFrame:
 
     Words by the middle of their height join the running line if they are within 0.6 of the median
     height of its band's middle; the band then grows over them. The band depends on all words before,
-    so it is a fold over the page's sorted words; a page is one row there. Within a line words go by x0.
+    so it is a fold over the page's sorted words, which carry all their columns along: a page is one row
+    there, and nothing is joined back. Within a line words go by x0.
     """
-    item = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("mid"), F.col("ord"), F.col("y0").alias("top"), F.col("y1").alias("bottom"))
-    pages = words.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("w")).join(median_heights(words, page), page)
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"), F.array().cast("array<struct<ord:bigint,line:int>>").alias("out"))
+    rest = [c for c in words.columns if c not in (page, "ord")]
+    item = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("mid"), F.col("ord"), *rest)
+    pages = words.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("w"))
+    pages = pages.withColumn("height", typical_height(F.transform("w", lambda w: w["y1"] - w["y0"])))
+    put = ArrayType(StructType([StructField("line", IntegerType()), StructField("w", pages.schema["w"].dataType.elementType)]))
+    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"), F.array().cast(put).alias("out"))
 
     def step(acc: Column, w: Column) -> Column:
         joins = (acc["line"] >= 0) & (F.abs(w["mid"] - (acc["top"] + acc["bottom"]) / 2) <= BAND * F.col("height"))
-        line = acc["line"] + F.when(joins, 0).otherwise(1)
-        put = F.array(F.struct(w["ord"].cast("bigint").alias("ord"), line.cast("int").alias("line")))
+        line = (acc["line"] + F.when(joins, 0).otherwise(1)).cast("int")
         return F.struct(
-            line.cast("int").alias("line"),
-            F.when(joins, F.least(acc["top"], w["top"])).otherwise(w["top"]).alias("top"),
-            F.when(joins, F.greatest(acc["bottom"], w["bottom"])).otherwise(w["bottom"]).alias("bottom"),
-            F.concat(acc["out"], put).alias("out"),
+            line.alias("line"),
+            F.when(joins, F.least(acc["top"], w["y0"])).otherwise(w["y0"]).alias("top"),
+            F.when(joins, F.greatest(acc["bottom"], w["y1"])).otherwise(w["y1"]).alias("bottom"),
+            F.concat(acc["out"], F.array(F.struct(line.alias("line"), w.alias("w")))).alias("out"),
         )
 
-    lines = pages.select(page, F.explode(F.aggregate("w", start, step)["out"]).alias("p")).select(F.col(page), F.col("p.ord").alias("ord"), F.col("p.line").alias("line_index"))
-    placed = words.join(lines, [page, "ord"])
+    each = pages.select(page, F.explode(F.aggregate("w", start, step, lambda acc: acc["out"])).alias("p"))
+    placed = each.select(*[F.col(c) if c == page else F.col(f"p.w.{c}") for c in words.columns], F.col("p.line").alias("line_index"))
     return placed.withColumn("line_order", F.row_number().over(Window.partitionBy(page, "line_index").orderBy("x0", "ord")) - 1)
 
 
@@ -62,14 +69,20 @@ def line_boxes(placed: DataFrame, page: str = "page_id") -> DataFrame:
 def paragraphs(lines: DataFrame, heights: DataFrame, page: str = "page_id") -> DataFrame:
     """``lines`` (page, line_index, top, bottom) with ``para_index``: a paragraph ends where a gap is over 1.8 typical gaps and 0.3 heights."""
     order = Window.partitionBy(page).orderBy("line_index")
-    gaps = lines.withColumn("gap", F.col("top") - F.lag("bottom").over(order))
-    typical = gaps.groupBy(page).agg(F.collect_list("gap").alias("g")).join(heights, page)
-    quartile = nearest_rank(F.col("g"), 0.25)
+    gaps = lines.withColumn("gap", F.col("top") - F.lag("bottom").over(order)).join(heights, page)
+    quartile = nearest_rank(F.collect_list("gap").over(Window.partitionBy(page)), 0.25)
     limit = GAP_FACTOR * F.when(F.coalesce(quartile, F.lit(0.0)) > 0, quartile).otherwise(TYPICAL_SHARE * F.col("height")) + GAP_SHARE * F.col("height")
-    breaks = gaps.join(typical.select(page, limit.alias("limit")), page).withColumn("b", F.when(F.col("gap") > F.col("limit"), 1).otherwise(0))
+    breaks = gaps.withColumn("limit", limit).withColumn("b", F.when(F.col("gap") > F.col("limit"), 1).otherwise(0))
     return breaks.withColumn("para_index", F.sum("b").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).select(*lines.columns, "para_index")
 
 
+def with_paragraphs(placed: DataFrame, paras: DataFrame, page: str = "page_id") -> DataFrame:
+    """``placed`` words with the ``para_index`` of their line; a page's lines meet its words as one array, so all stays dealt by page."""
+    known = F.transform(F.array_sort(F.collect_list(F.struct("line_index", "para_index"))), lambda p: p["para_index"])
+    by_page = paras.groupBy(page).agg(known.alias("_paras"))
+    return placed.join(by_page, page).withColumn("para_index", F.get("_paras", F.col("line_index"))).drop("_paras")
+
+
 def bisects(rx0: Column, ry0: Column, rx1: Column, ry1: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """A rule strikes a box out: it covers 60 % of the width and passes within a quarter height of the middle."""
     width, height = x1 - x0, y1 - y0
@@ -84,14 +97,13 @@ def bisects(rx0: Column, ry0: Column, rx1: Column, ry1: Column, x0: Column, y0:
 def strike_out(words: DataFrame, rules: DataFrame, page: str = "page_id") -> DataFrame:
     """``words`` with ``struck``; a struck word's text is blank and its own text is kept as ``original``.
 
-    A range join within the page: words and rules meet on the page, then on the predicate; the struck
-    places come back as a set, so a word under two rules stays one row.
+    A page's rules meet each of its words as one array, so a word under two rules stays one row.
     """
-    r = rules.select(F.col(page).alias("_page"), *[F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")])
-    box = [F.col(c) for c in ("rx0", "ry0", "rx1", "ry1", "x0", "y0", "x1", "y1")]
-    hit = words.join(r, F.col(page) == F.col("_page")).filter(bisects(*box)).select(page, "ord").distinct().withColumn("_hit", F.lit(True))
-    struck = F.coalesce("_hit", F.lit(False))
-    return words.join(hit, [page, "ord"], "left").withColumn("original", F.col("text")).withColumn("text", F.when(struck, "").otherwise(F.col("text"))).withColumn("struck", struck).drop("_hit")
+    names = ("x0", "y0", "x1", "y1")
+    by_page = rules.groupBy(page).agg(F.collect_list(F.struct(*names)).alias("_rules"))
+    struck = F.coalesce(F.exists("_rules", lambda r: bisects(*[r[c] for c in names], *map(F.col, names))), F.lit(False))
+    marked = words.join(by_page, page, "left").withColumn("struck", struck).drop("_rules")
+    return marked.withColumn("original", F.col("text")).withColumn("text", F.when(F.col("struck"), "").otherwise(F.col("text")))
 
 
 def reading_order(placed: DataFrame, page: str = "page_id") -> DataFrame:

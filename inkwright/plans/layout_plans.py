@@ -92,8 +92,7 @@ def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = boxes(spark, sf_dir)
     lines = layout.group_lines(words)
     paras = layout.paragraphs(layout.line_boxes(lines), layout.median_heights(words))
-    struck = layout.strike_out(lines, rules(words)).join(paras.select("page_id", "line_index", "para_index"), ["page_id", "line_index"])
-    return layout.assemble(struck)
+    return layout.assemble(layout.with_paragraphs(layout.strike_out(lines, rules(words)), paras))
 
 
 _ASSEMBLED = f"""{_LINES}, {_RULES},

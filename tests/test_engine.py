@@ -299,6 +299,22 @@ def test_layout(spark):
     assert (r.a, r.b) == (3.0, 2.0)
 
 
+@pytest.mark.parametrize("name", ["assemble_offsets"])
+def test_a_page_meets_its_parts_by_page_alone(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin (Inner|LeftOuter)", plan)) == 3 and plan.count("Relation [") == 4
+
+
+def test_paragraphs_of_pages_with_and_without_rules(spark):
+    words = boxes(spark, *[(f"l{y}", 10, y, 50, y + 24) for y in (10, 50, 190, 230)])
+    every = words.unionByName(words.withColumn("page_id", F.lit(2).cast("long")))
+    rules = spark.createDataFrame([(1, 8.0, 62.0, 52.0, 62.0), (1, 8.0, 63.0, 52.0, 63.0), (3, 0.0, 0.0, 9.0, 0.0)], "page_id long, x0 double, y0 double, x1 double, y1 double")
+    placed = layout.group_lines(every)
+    paras = layout.paragraphs(layout.line_boxes(placed), layout.median_heights(every))
+    rows = layout.with_paragraphs(layout.strike_out(placed, rules), paras).collect()
+    assert sorted((r.page_id, r.line_index, r.para_index, r.original, r.struck) for r in rows) == [(p, i, i // 2, f"l{y}", (p, y) == (1, 50)) for p in (1, 2) for i, y in enumerate((10, 50, 190, 230))]
+
+
 def test_jobs(spark):
     jobs = spark.createDataFrame([(3, 1, "queued", 0, None), (2, 1, "running", 3, None), (1, 1, "running", 1, None), (4, 2, "failed", 1, "bad"), (5, 2, "done", 1, None)], "id long, document_id long, state string, attempts int, error string")
     claimed = {r.id: (r.state, r.attempts) for r in store.claim(jobs).collect()}
