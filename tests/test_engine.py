@@ -299,7 +299,7 @@ def test_layout(spark):
     assert (r.a, r.b) == (3.0, 2.0)
 
 
-@pytest.mark.parametrize("name", ["assemble_offsets", "editor_spans", "page_texts"])
+@pytest.mark.parametrize("name", ["assemble_offsets", "editor_spans", "page_texts", "tier_counts"])
 def test_a_page_meets_its_parts_by_page_alone(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\bJoin (Inner|LeftOuter)", plan)) == 3 and plan.count("Relation [") == 4
