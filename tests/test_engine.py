@@ -202,6 +202,11 @@ def test_the_text_is_recognised_once(spark, sf_dir, name, reads):
     assert documents_read(QUERIES[name](spark, sf_dir)) == reads
 
 
+@pytest.mark.parametrize("name", ["candidate_pool"])
+def test_tokens_are_made_once(spark, sf_dir, name):
+    assert "Relation [" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_candidates_are_brute_force(spark):
     words = ["the", "then", "them", "he", "folder", "holder", "older", "fold", "ab", "ba", "a", "modern", "modem", "handwriting", "matrix"]
     lexicon = spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, count long")
