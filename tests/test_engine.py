@@ -202,7 +202,7 @@ def test_the_text_is_recognised_once(spark, sf_dir, name, reads):
     assert documents_read(QUERIES[name](spark, sf_dir)) == reads
 
 
-@pytest.mark.parametrize("name", ["candidate_pool", "decode_round1", "decode_full"])
+@pytest.mark.parametrize("name", ["candidate_pool", "decode_round1", "decode_full", "flag_quality"])
 def test_tokens_are_made_once(spark, sf_dir, name):
     assert "Relation [" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
 
