@@ -197,7 +197,7 @@ def documents_read(df):
     return len(re.findall(r"Relation \[doc_id", df._jdf.queryExecution().optimizedPlan().toString()))
 
 
-@pytest.mark.parametrize("name, reads", [("confusion_totals", 0), ("edit_costs", 0), ("channel_costs", 0), ("likely_sources", 0), ("model_stats", 2), ("inverse_variants", 0), ("channel_paths", 0)])
+@pytest.mark.parametrize("name, reads", [("confusion_totals", 0), ("edit_costs", 0), ("channel_costs", 0), ("likely_sources", 0), ("model_stats", 2), ("inverse_variants", 0), ("channel_paths", 0), ("lexicon_candidates", 0)])
 def test_the_text_is_recognised_once(spark, sf_dir, name, reads):
     assert documents_read(QUERIES[name](spark, sf_dir)) == reads
 
