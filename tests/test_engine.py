@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwright.functions import alignment, text
 from inkwright.operators import candidates, channel, decode, evaluate, image_arrays, layout, model, store
+from inkwright.plans import common
 from inkwright.plans.catalogue import QUERIES
 from inkwright.sources import providers, readers, sinks
 from inkwright.streaming import progress
@@ -468,3 +469,26 @@ def test_synthetic_recognition(spark):
     assert evaluate.synthesize(docs, rate=0.0).filter("observed <> truth").count() == 0
     parts = evaluate.split_samples(docs, 0.7, 11, "doc_id").groupBy("part").count().collect()
     assert {r.part: r["count"] for r in parts} == {"train": 42, "test": 18}
+
+
+def test_recognition_in_arrays_is_the_column_expressions(spark):
+    """Token by token, with long keys, null and empty texts, pairs side by side and signs beyond ASCII."""
+    texts = [("x" * 60, "the modern corner rn mrn rnm rnrn’rn\r\n\x85so"), (None, "barn burn"), ("k", None), ("e", ""), ("long", "modern turn " * 200), ("m", " ".join(CORPUS * 40))]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    lines = docs.select("doc_id", F.posexplode(text.splitlines(F.col("text"))).alias("line", "t"))
+    words = lines.select("doc_id", "line", F.posexplode(text.tokenize(F.col("t"))).alias("idx", "truth")).withColumn("k", F.concat_ws("|", F.lit("11"), "doc_id", F.col("line").cast("string"), F.col("idx").cast("string")))
+    want = words.withColumn("observed", evaluate.corrupt(F.col("truth"), F.col("k"))).select("doc_id", "line", "idx", "truth", "observed", evaluate.confidence(F.col("truth"), F.col("observed"), F.col("k")).alias("confidence"))
+    order = lambda rows: sorted(rows, key=str)
+    assert order(evaluate.synthesize(docs).collect()) == order(want.collect())
+    pairs = evaluate.misread_pairs(docs)
+    assert order(pairs.collect()) == order(alignment.distinct_pairs(want, "observed", "truth").collect())
+    assert order(alignment.operation_counts(pairs).collect()) == order(model.channel_counts(alignment.align_counted(pairs)).collect())
+
+
+@pytest.mark.parametrize("name", ["edit_costs"])
+def test_the_text_is_recognised_in_arrays(spark, sf_dir, monkeypatch, name):
+    """No digest and no operation of a single character is a value of a row."""
+    plans = []
+    monkeypatch.setattr(common, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    QUERIES[name](spark, sf_dir)
+    assert plans and all("md5(" not in p and "Generate explode(" not in p for p in plans)
