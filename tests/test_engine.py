@@ -510,7 +510,7 @@ def test_recognition_in_arrays_is_the_column_expressions(spark):
     assert order(alignment.operation_counts(pairs).collect()) == order(model.channel_counts(alignment.align_counted(pairs)).collect())
 
 
-@pytest.mark.parametrize("name", ["edit_costs", "channel_costs", "likely_sources"])
+@pytest.mark.parametrize("name", ["edit_costs", "channel_costs", "likely_sources", "model_stats"])
 def test_the_text_is_recognised_in_arrays(spark, sf_dir, monkeypatch, name):
     """No digest and no operation of a single character is a value of a row."""
     plans = []
