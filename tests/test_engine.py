@@ -353,6 +353,17 @@ def test_paragraphs_of_pages_with_and_without_rules(spark):
     assert sorted((r.page_id, r.line_index, r.para_index, r.original, r.struck) for r in rows) == [(p, i, i // 2, f"l{y}", (p, y) == (1, 50)) for p in (1, 2) for i, y in enumerate((10, 50, 190, 230))]
 
 
+def test_lines_of_a_long_page(spark):
+    """20,000 words on a page, some without a place: no word's place copies the lines before it."""
+    rows = [(1, i, f"w{i}", 0.9, 10.0 * (i % 8), None if i % 5000 == 7 else 46.0 * (i // 8), 10.0 * (i % 8) + 8, 46.0 * (i // 8) + 24) for i in range(20_000)]
+    words = spark.createDataFrame(rows, "page_id long, ord long, text string, confidence double, x0 double, y0 double, x1 double, y1 double")
+    placed = layout.group_lines(words)
+    assert "aggregate(" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    known = placed.filter("y0 is not null").select("ord", "line_index", "line_order").collect()
+    lost = sum(r[5] is None for r in rows)
+    assert len(known) == 20_000 - lost and all(r.line_index == lost + r.ord // 8 for r in known)
+
+
 def test_jobs(spark):
     jobs = spark.createDataFrame([(3, 1, "queued", 0, None), (2, 1, "running", 3, None), (1, 1, "running", 1, None), (4, 2, "failed", 1, "bad"), (5, 2, "done", 1, None)], "id long, document_id long, state string, attempts int, error string")
     claimed = {r.id: (r.state, r.attempts) for r in store.claim(jobs).collect()}
