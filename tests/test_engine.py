@@ -528,3 +528,26 @@ def test_the_text_is_recognised_in_arrays(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(common, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
     QUERIES[name](spark, sf_dir)
     assert plans and all("md5(" not in p and "Generate explode(" not in p for p in plans)
+
+
+def test_a_filter_keeps_the_keys_that_are_asked_for():
+    """No key asked for is missed, few others pass; what deletions leave is found by its hash, whatever was dropped."""
+    from inkwright.functions import edit_keys
+
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(1 << 63), 1 << 63, 20_000)
+    bits = np.zeros((edit_keys.PARTS, edit_keys.part_bits(len(keys)) // 8), dtype=np.uint8)
+    for p in range(edit_keys.PARTS):
+        edit_keys.put(bits[p], keys[edit_keys.part_of(keys) == p])
+    others = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    assert edit_keys.held(bits.reshape(-1), keys.view(np.uint64)).all() and edit_keys.held(bits.reshape(-1), others).mean() < 0.03
+    left = {(i, k) for rows, key in edit_keys.asked_keys(["abcd", "bd", "abxd", "ad"], [2, 0, 1, 0], 12) for i, k in zip(rows.tolist(), key.tolist(), strict=True)}
+    of = lambda i: {k for j, k in left if j == i}
+    assert len(of(0)) == 1 + 4 + 6 and len(of(1)) == 1 and of(1) | of(3) < of(0) and len(of(2)) == 5 and of(2) & of(0) and not of(2) & of(3)
+
+
+def test_lexicon_keys_are_filtered_where_they_are_made(spark):
+    words = spark.createDataFrame([(f"{w}{i}", 1) for i in range(200) for w in ("zzzz", "yyyyyyyyyyyyyyy")] + [("folder", 2)], "word string, count long")
+    plan = candidates.lexicon_candidates(spark.createDataFrame([("fodler",), ("zz",)], "token string"), words)
+    assert [(r.token, r.word) for r in plan.collect()] == [("fodler", "folder")]
+    assert "xxhash64(" not in plan._jdf.queryExecution().optimizedPlan().toString()
