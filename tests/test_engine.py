@@ -551,3 +551,15 @@ def test_lexicon_keys_are_filtered_where_they_are_made(spark):
     plan = candidates.lexicon_candidates(spark.createDataFrame([("fodler",), ("zz",)], "token string"), words)
     assert [(r.token, r.word) for r in plan.collect()] == [("fodler", "folder")]
     assert "xxhash64(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_of_other_confidence_share_their_candidates(spark, trained):
+    offered = [("rnodei", c, [("model", 0.38)]) for c in (0.4, 0.45)]
+    rows = pages(spark, (1, [("rnatrix", c, []) for c in (0.61, 0.62, 0.63)]), (2, offered)).withColumn("token", F.lower("observed"))
+    priced = decode.priced_candidates(rows, trained, decode.Thresholds())
+    assert "confidence" not in priced.columns and priced.groupBy("token", "alternatives", "candidate").count().filter("count > 1").isEmpty()
+    priced = rows.select("token", "confidence", "alternatives").join(priced, ["token", "alternatives"])
+    price = {(r.token, r.confidence, r.candidate): r.p for r in priced.withColumn("p", decode.channel_price(F.col("confidence"), F.col("own"), F.col("shift"))).collect()}
+    for c in (0.61, 0.62, 0.63):
+        assert price["rnatrix", c, "rnatrix"] == math.log(c) and abs(price["rnatrix", c, "matrix"] - price["rnatrix", 0.61, "matrix"] - math.log(c) + math.log(0.61)) < 1e-12
+    assert all(price["rnodei", c, "model"] == math.log(0.38) for c in (0.4, 0.45))
