@@ -563,3 +563,62 @@ def test_tokens_of_other_confidence_share_their_candidates(spark, trained):
     for c in (0.61, 0.62, 0.63):
         assert price["rnatrix", c, "rnatrix"] == math.log(c) and abs(price["rnatrix", c, "matrix"] - price["rnatrix", 0.61, "matrix"] - math.log(c) + math.log(0.61)) < 1e-12
     assert all(price["rnodei", c, "model"] == math.log(0.38) for c in (0.4, 0.45))
+
+
+def test_words_in_bytes_are_the_tokens_of_the_lines(monkeypatch):
+    """Joining signs at any place, every line end, signs of several bytes; long texts are cut between lines, numbers of many words don't fit an integer."""
+    from inkwright.functions import word_grams
+
+    draw = np.random.default_rng(11)
+    signs = [*"aZ9b", "'", "-", "’", "‘", "\n", "\r", "\r\n", "\x0b", "\x1e", "\x85", " ", " ", " ", "é", "\xa0", "😀", "\x02"]
+    for text_ in ["", "'", "a", "’a’", "a’", *("".join(draw.choice(signs, 80)) for _ in range(200))]:
+        t = word_grams.Numbered.of(np.frombuffer(text_.encode(), dtype=np.uint8))
+        want = [(n, w.lower()) for n, line in enumerate(text_.splitlines()) for w in re.findall(text.TOKEN, line)]
+        assert [(n, w) for n, w in zip(t.line.tolist(), t.words.take(t.word).to_pylist(), strict=True)] == want
+        named = lambda g, t=t: list(zip(*(x.tolist() for x in (g.w1, g.word, g.count))))
+        plain = t.grams()
+        with monkeypatch.context() as m:
+            m.setattr(word_grams, "_FIT", 0)
+            wide = t.grams()
+        assert named(plain) == named(wide) and all(map(np.array_equal, (plain.which, plain.w2, plain.count_3), (wide.which, wide.w2, wide.count_3)))
+        assert plain.count.sum() == plain.count_3.sum() == len(want)
+    monkeypatch.setattr(word_grams, "BYTES", 40)
+    import pyarrow as pa
+
+    texts = ["x y\n" * 30, None, "", "z" * 90, "a b"]
+    cut = [x.tobytes().decode() for x in word_grams.chunks(iter([pa.record_batch([pa.array(texts)], names=["text"])]))]
+    assert len(cut) > 4 and "\n".join(cut).split() == "\n".join(t for t in texts if t).split()
+
+
+def test_prices_by_block_are_those_of_the_tables(spark):
+    """Null, empty and repeated rows, lines without words, words and phrases that the documents lack; and no documents at all."""
+    from inkwright.functions.text import splitlines, tokenize
+    from inkwright.operators import language
+
+    texts = [(1, 0, "The matrix model is\r\n\r\nshared.\n it shows"), (1, 1, None), (2, 0, ""), (3, 0, "... \n"), (4, 0, "don’t zebra the the the model"), (4, 0, "don’t zebra the the the model"), (5, 0, "the matrix")]
+    asked = spark.createDataFrame(texts, "conv_id long, turn long, text string")
+    lines = asked.select("conv_id", "turn", F.posexplode(splitlines(F.col("text"))).alias("line", "_t"))
+    places = language.context_positions(lines.select("conv_id", "turn", "line", tokenize(F.col("_t")).alias("words")), "words", "conv_id", "turn", "line")
+    for rows in ([(i, line) for i, line in enumerate(CORPUS * 3)] + [(99, None), (100, "Don’t\r\nthe the the\n")], [(1, None)]):
+        docs = spark.createDataFrame(rows, "doc_id int, text string")
+        tri, chars = model.word_ngrams(docs), model.char_ngrams(model.lexicon(docs))
+        want = language.log_probs(places, tri, chars, model.language_totals(model.unigrams(tri), chars))
+        got = language.text_log_probs(asked, docs, "conv_id", "turn")
+        key = lambda r: (r.conv_id, r.turn, r.line, r.idx, r.word, round(r.log_prob, 9))
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() == 21
+
+
+def test_only_ngrams_asked_for_are_counted(spark):
+    """The documents' other n-grams aren't shuffled; of those asked for none is missed."""
+    from inkwright.operators import language
+
+    docs = spark.createDataFrame([(" ".join(f"w{i}x{j}" for j in range(400)),) for i in range(5)] + [("the matrix model",)], "text string")
+    blocks = language._in_blocks(spark.createDataFrame([(1, "the Matrix model")], "k int, text string"), "k")
+    rows = language._counted(docs, language._gram_filter(blocks)).collect()
+    assert sum(r.n == 1 for r in rows) == 2004 and {(r.name, r["count"]) for r in rows if r.n > 1} >= {("\x02 the", 1), ("\x02 \x02 the", 1), ("the matrix", 1), ("the matrix model", 1)}
+    assert sum(r.n > 1 for r in rows) < 400
+
+
+@pytest.mark.parametrize("name", ["ngram_logprob"])
+def test_documents_are_counted_before_they_are_asked(spark, sf_dir, name):
+    assert documents_read(QUERIES[name](spark, sf_dir)) == 0
