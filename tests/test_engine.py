@@ -622,3 +622,21 @@ def test_only_ngrams_asked_for_are_counted(spark):
 @pytest.mark.parametrize("name", ["ngram_logprob"])
 def test_documents_are_counted_before_they_are_asked(spark, sf_dir, name):
     assert documents_read(QUERIES[name](spark, sf_dir)) == 0
+
+
+def test_operations_are_counted_where_the_text_is_read(spark):
+    """As aligned pair by pair: two errors side by side, errors of other length, three of them, signs beyond ASCII."""
+    words = ["turn", "rn", "mm", "n", "anna", "rnrn’rn", "oolllttt", "corner-modern", "42"]
+    docs = spark.createDataFrame([("k", None), ("e", ""), *((str(i), " ".join(words) + "\n" + CORPUS[i % 5]) for i in range(300))], "doc_id string, text string")
+    order = lambda df: sorted(map(tuple, df.select("kind", "a", "b", "count").collect()))
+    for rate in (evaluate.ERROR_RATE, 0.6, 0.0):
+        want = order(alignment.operation_counts(evaluate.misread_pairs(docs, rate=rate)))
+        assert order(evaluate.misread_counts(docs, rate=rate)) == want and {k for k, *_ in want} == ({"sub", "ins", "del", "span"} if rate else {"sub"})
+
+
+@pytest.mark.parametrize("name", ["channel_costs", "likely_sources", "model_stats"])
+def test_no_pair_of_words_is_shuffled(spark, sf_dir, monkeypatch, name):
+    plans = []
+    monkeypatch.setattr(common, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    QUERIES[name](spark, sf_dir)
+    assert plans and all("predicted" not in p and p.count("Aggregate [") == 1 for p in plans)
