@@ -652,3 +652,16 @@ def test_words_are_counted_without_ngrams(spark, sf_dir):
     assert model.word_counts(docs.filter("text is null")).isEmpty()
     plan = QUERIES["model_stats"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and "w2" not in plan
+
+
+def test_counting_a_chunk_takes_bounded_memory():
+    """Two workers share an executor with its heap: arrays of a chunk stay under 150 MB."""
+    import tracemalloc
+
+    from inkwright.functions import word_grams
+
+    data = np.random.default_rng(2).choice(np.frombuffer(b"abcdefghij    \n", dtype=np.uint8), word_grams.BYTES)
+    tracemalloc.start()
+    assert len(list(word_grams.counted(data, np.zeros(512, dtype=np.uint8)))) == 3
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
